@@ -29,6 +29,7 @@ HALO = 64
 CONTEXT_H = 6  # hours of a context
 FENCE = 7.0  # interquartile ranges beyond the quartiles
 LEAST = 0.004  # interquartile range at least, as a share of the level
+CALMEST = 0.8  # least interquartile range of a context, as a share of that of all hours
 STEEP = 3.0  # times the steps of its calmer side that a spike must jump
 FEW = 48  # readings that a context needs for its own quartiles
 
@@ -205,12 +206,13 @@ def judged(
         F.col("_s"), F.col("_t"), F.col("_context").alias("_c"),
         F.when(enough, F.col("_q1")).otherwise(F.col("_a1")).alias("_low"),
         F.when(enough, F.col("_q3")).otherwise(F.col("_a3")).alias("_high"),
+        (F.col("_a3") - F.col("_a1")).alias("_usual"),
     )
 
     # only readings with a jump can be spikes; all others are settled without the fences
     jumpy = seen.where("_possible and not _stuck and _jump > 0")
     same = F.col("_source").eqNullSafe(F.col("_s")) & F.col("_type").eqNullSafe(F.col("_t")) & (F.col("_context") == F.col("_c"))
-    spread = F.greatest(F.col("_high") - F.col("_low"), F.abs("_level") * LEAST)
+    spread = F.greatest(F.col("_high") - F.col("_low"), F.col("_usual") * CALMEST, F.abs("_level") * LEAST)
     outside = (residual < F.col("_low") - fence * spread) | (residual > F.col("_high") + fence * spread)
     spiky = F.when(outside & (F.col("_jump") > fence * spread), "spike").otherwise("credible")
     names = [F.col("_id").alias(id_col), F.col("_source").alias(source), F.col("_type").alias(type_col), F.col("_value").alias(value)]
