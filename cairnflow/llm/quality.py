@@ -20,10 +20,8 @@ _SENTENCES = re.compile(r"(?<=[.!?])\s+")
 _PUNCTUATION = re.compile(r"[,.;:!?](?=\s|$)")
 _LEADERS = re.compile(r"[.…_·]{5,}")
 _VOWEL = re.compile(r"[aeiouyäöüéèêàâîôûœæåøаеиоуыэюяіα-ω]")
-#: What a stretch without readable words holds somewhere; without any of it a text has no such stretch.
-_ODD = re.compile(
-    r"[ÃÂÐÑþ€™¤¶®□�]|0x[0-9a-f]{2}|[A-Za-z0-9+/]{31}|\b[b-df-hj-np-tv-xz]{4,}\b|[._…·]{5}|[a-z][`~^|\\=_;][a-z]|[`~^|\\=_]{2}|[ÃÂÐÑœ]{2}"
-)
+#: One of these, a token of over 30 characters or a word without vowels is in every text with a stretch that can't be read.
+_ODD = re.compile(r"[ÃÂÐÑþ€™¤¶®□�`~^|\\=_…]|\.\.\.\.\.|·····|0x[0-9a-f]")
 _ASCII_PLAIN = bytes(range(48, 58)) + bytes(range(65, 91)) + bytes(range(97, 123)) + b" \n\t\r\x0b\x0c"
 
 ENTRY_WORDS = 8  # words of an enumerated entry on the average at most
@@ -139,7 +137,10 @@ def described(text: str, common: dict[str, int]) -> dict:
     del line_counts[""]
     full = sum(line_counts.values())
     repeated = 0
-    odd = _ODD.search(text) is not None
+    tokens = text.split()
+    found = WORD.findall(text.lower())
+    odd = bool(_ODD.search(text)) or max(map(len, tokens), default=0) > 30
+    odd = odd or any([len(w) > 3 and not _VOWEL.search(w) for w in set(found)])
     prose: list[str] = []
     open_: list[str] = []  # successive lines of text without the end of a sentence
 
@@ -175,7 +176,6 @@ def described(text: str, common: dict[str, int]) -> dict:
         elif kind == "entry":
             size["list"] += len(line) + 1
     close()
-    tokens = text.split()
     top, times = (), 0
     if len(tokens) > 2:
         grams = Counter(zip(tokens, tokens[1:], tokens[2:], strict=False))
@@ -187,7 +187,6 @@ def described(text: str, common: dict[str, int]) -> dict:
         size["junk"] += over
         repeated += over
     chars = max(len(text), 1)
-    found = WORD.findall(text.lower())
     n_words = len(found)
     by_language = [0, 0, 0, 0]
     for w in filter(common.__contains__, found):

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .leakage import leaked_items
+from .mixing import mixed
 from .quality import text_quality
+from .tokens import with_tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +26,21 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_leaks(spark, sf_dir).select("doc_id", "item_id")
 
 
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", F.md5("text").alias("text_key"), "text")
+    return mixed(with_tokens(docs, "text"), _table(spark, sf_dir, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A training mix in which each source has its target share of all tokens, a row per copy, shuffled."""
+    return _mix(spark, sf_dir)[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares of all tokens that the mix reaches, and how often texts are repeated."""
+    return _mix(spark, sf_dir)[1]
+
+
 def p10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and kind of every document's text."""
     return text_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "common_words"))
@@ -33,4 +51,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_quality(spark, sf_dir).where("text_kind in ('list', 'table', 'junk')").select("doc_id", "text_kind")
 
 
-QUERIES = {"p8_found": p8_found, "p8_leaks": p8_leaks, "p10_found": p10_found, "p10_quality": p10_quality}
+QUERIES = {
+    "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_mix": p9_mix, "p9_shares": p9_shares,
+    "p10_found": p10_found, "p10_quality": p10_quality,
+}
