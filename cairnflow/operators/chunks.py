@@ -54,12 +54,12 @@ def chunked(
         return F.explode(F.sequence(F.floor(F.expr(begin) / F.lit(target)), F.floor(F.expr(end) / F.lit(target))))
 
     wide = edges.withColumn("_near", cells(f"_first - {halo}", f"_last + {halo}"))
-    pairs = placed.withColumn("_cell", cells("_begin", "_end")).join(wide, [F.col("_cell") == F.col("_near"), *same])
+    pairs = placed.drop("_first", "_last").withColumn("_cell", cells("_begin", "_end")).join(wide, [F.col("_cell") == F.col("_near"), *same])
     meets = (F.col("_end") > F.col("_first") - halo) & (F.col("_begin") < F.col("_last") + halo)
     core = (F.col("_c") == F.col("_own")).alias("_core")
-    lookup = pairs.where(meets).select(*names, F.col("_cut").alias("_at"), F.col("_c").alias("_chunk"), core).distinct()
+    lookup = pairs.where(meets).select(*names, F.col("_cut").alias("_stretch"), F.col("_c").alias("_chunk"), core).distinct()
     known = bounded_rows(lookup, SMALL_MAP)
     if known is not None:
         lookup = F.broadcast(spark.createDataFrame(known, lookup.schema))
-    joined = cut.join(lookup, [F.col("_cut") == F.col("_at"), *same], "left")
+    joined = cut.join(lookup, [F.col("_cut") == F.col("_stretch"), *same], "left")
     return joined.select(*df.columns, F.coalesce("_chunk", F.lit(0)).alias("_chunk"), F.coalesce("_core", F.lit(True)).alias("_core"))
