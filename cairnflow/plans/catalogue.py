@@ -1 +1,284 @@
-QUERIES = {}
+"""Queries of the pipeline's operators over whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.scalars import (
+    base_url, batch_name, endpoint, in_zone, positive, request_status, type_stem, wait_seconds, with_key, without_key,
+)
+from ..functions.times import micros, stamp_seconds
+from ..operators import ingest, registry
+from ..operators.overlap import within
+from ..operators.ranks import spread_rank
+from ..sources.tables import table
+
+CUTOFF = "2025-06-01 00:00:00"
+FIRST = ["received_at", "line_id"]
+
+
+def _zone(metadata: str = "metadata") -> F.Column:
+    return F.get_json_object(metadata, "$.timeZone")
+
+
+def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every feed element as a body of one element, as it would be uploaded."""
+    el = table(spark, sf_dir, "batch_elements")
+    sample = F.to_json(F.struct("uuid", F.col("sample_type").alias("type"), F.col("start_time").alias("start"), F.col("end_time").alias("end"), "source"))
+    tomb = F.to_json(F.struct("deleted"))
+    body = F.concat(F.lit("["), F.when(F.col("deleted").isNotNull(), tomb).otherwise(sample), F.lit("]"))
+    return el.select("element_id", "queue_id", body.alias("body"))
+
+
+def scan_samples(spark, sf_dir):
+    s = table(spark, sf_dir, "samples")
+    offset = F.regexp_extract("start_time", r"(Z|[+-]\d\d:\d\d)$", 1)
+    return s.select("line_id", "uuid", "sample_type", "start_time", "end_time", "value_num", "value_text", F.col("unit_label").alias("unit"), "source", offset.alias("start_offset"), _zone().alias("zone"))
+
+
+def enabled_filter(spark, sf_dir):
+    off = spark.createDataFrame([("heartRate", False), ("workout", True)], "key string, enabled boolean")
+    s = table(spark, sf_dir, "samples").join(F.broadcast(off), F.col("sample_type") == F.col("key"), "left")
+    return s.where(F.coalesce("enabled", F.lit(True))).select("line_id", "sample_type")
+
+
+def registry_scale(spark, sf_dir):
+    s = table(spark, sf_dir, "samples").select("line_id", "sample_type", "value_num")
+    return registry.scaled(s, registry.registry(spark)).select("line_id", F.round("scaled_value", 6).alias("scaled_value"), "unit")
+
+
+def category_label(spark, sf_dir):
+    labels = spark.createDataFrame(list(enumerate(registry.SLEEP_STAGES)), "code int, label string")
+    s = table(spark, sf_dir, "samples").where("sample_type = 'sleepAnalysis'").select("line_id", F.length("value_text").alias("code"))
+    return registry.labelled(s, labels, "code").select("line_id", "code", "label")
+
+
+def kind_guard(spark, sf_dir):
+    types = F.broadcast(registry.registry(spark).select(F.col("key").alias("sample_type"), "kind"))
+    s = table(spark, sf_dir, "samples").join(types, "sample_type", "left")
+    fits = F.coalesce((F.col("kind") == "quantity") == F.col("value_num").isNotNull(), F.lit(False))
+    return s.groupBy("sample_type").agg(F.count_if(fits).alias("kept"), F.count_if(~fits).alias("skipped"))
+
+
+def element_split(spark, sf_dir):
+    return ingest.elements(_bodies(spark, sf_dir)).groupBy("queue_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def json_typed(spark, sf_dir):
+    v = F.try_variant_get(F.try_parse_json("metadata"), "$.timeZone", "variant")
+    e = F.try_variant_get(F.try_parse_json("metadata"), "$.HKWasUserEntered", "variant")
+    r = table(spark, sf_dir, "import_records")
+    zone = F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    entered = F.when(F.schema_of_variant(e) == "BOOLEAN", F.try_variant_get(e, "$", "boolean"))
+    return r.select("import_id", zone.alias("zone"), entered.alias("entered"))
+
+
+def json_encode(spark, sf_dir):
+    s = table(spark, sf_dir, "samples")
+    wire = F.struct("uuid", F.col("sample_type").alias("type"), F.col("value_num").alias("value"), F.col("unit_label").alias("unit"), F.col("start_time").alias("start"))
+    return s.select("line_id", F.to_json(F.parse_json(F.to_json(wire))).alias("json"))
+
+
+def _metadata_map():
+    return F.from_json("metadata", "map<string, string>")
+
+
+def receivedat_override(spark, sf_dir):
+    r = table(spark, sf_dir, "import_records")
+    m = with_key(_metadata_map(), "timeZone", F.coalesce("device_zone", F.lit("none")))
+    return r.select("import_id", m["timeZone"].alias("zone"), F.size(m).alias("n_keys"))
+
+
+def metadata_merge(spark, sf_dir):
+    r = table(spark, sf_dir, "import_records")
+    m = without_key(_metadata_map(), "timeZone")
+    return r.select("import_id", m["HKWasUserEntered"].alias("entered"), F.when(m.isNotNull(), F.size(m)).alias("n_keys"))
+
+
+def dedupe_first_wins(spark, sf_dir):
+    s = table(spark, sf_dir, "samples").select("uuid", "line_id", "received_at", "sample_type")
+    return ingest.first_wins(s, "uuid", FIRST).select("uuid", "line_id", "sample_type")
+
+
+def dedupe_new_only(spark, sf_dir):
+    s = table(spark, sf_dir, "samples").select("uuid", "line_id", "received_at")
+    cut = F.expr(f"timestamp_ntz'{CUTOFF}'")
+    incoming = ingest.first_wins(s.where(F.col("received_at") >= cut), "uuid", FIRST)
+    return ingest.new_only(incoming, s.where(F.col("received_at") < cut)).select("uuid", "line_id")
+
+
+def ingest_counts(spark, sf_dir):
+    split = ingest.elements(_bodies(spark, sf_dir))
+    received = split.groupBy("queue_id").agg(F.count(F.lit(1)).alias("received"))
+    new = ingest.first_wins(ingest.samples_of(split), "uuid", ["element_id", "pos"]).groupBy("queue_id").agg(F.count(F.lit(1)).alias("new"))
+    gone = ingest.first_tombstones(ingest.tombstones_of(split), ["element_id", "pos"])
+    gone = gone.groupBy("queue_id").agg(F.count(F.lit(1)).alias("deleted"))
+    both = received.join(new, "queue_id", "left").join(gone, "queue_id", "left")
+    return both.select("queue_id", "received", F.coalesce("new", F.lit(0)).alias("new"), F.coalesce("deleted", F.lit(0)).alias("deleted"))
+
+
+def tombstone_flatten(spark, sf_dir):
+    ids = ingest.tombstones_of(ingest.elements(_bodies(spark, sf_dir)))
+    return ids.groupBy("uuid").agg(F.min("element_id").alias("first_element"), F.count(F.lit(1)).alias("n"))
+
+
+def tombstone_new_only(spark, sf_dir):
+    el = table(spark, sf_dir, "batch_elements").where("deleted is not null")
+    ids = el.select("element_id", "received_at", F.explode("deleted").alias("uuid")).where("uuid is not null")
+    cut = F.expr("timestamp_ntz'2026-02-01 00:00:00'")
+    first = ingest.first_tombstones(ids.where(F.col("received_at") >= cut), ["element_id"])
+    return ingest.new_only(first, ids.where(F.col("received_at") < cut)).select("uuid", "element_id")
+
+
+def positive_stat_fallback(spark, sf_dir):
+    s = table(spark, sf_dir, "samples").where("sample_type = 'workout'")
+    sums = s.groupBy("source").agg(F.sum("total_energy_burned").alias("_e"), F.max("duration").alias("_d"))
+    return sums.select("source", F.round(F.coalesce(positive(F.col("_e")), F.col("_d")), 3).alias("total"))
+
+
+def interval_stats(spark, sf_dir):
+    s = table(spark, sf_dir, "samples")
+    spans = s.where("sample_type = 'workout'").select(F.col("line_id").alias("id"), F.col("source").alias("key"), stamp_seconds("start_time").alias("lo"), stamp_seconds("end_time").alias("hi"))
+    beats = s.where("sample_type in ('heartRate', 'stepCount')").select(F.col("source").alias("key"), stamp_seconds("start_time").alias("at"), F.col("value_num").alias("value"))
+    met = within(spans, beats)
+    return met.groupBy(F.col("id").alias("line_id")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("lowest"), F.max("value").alias("highest"), F.round(F.avg("value"), 6).alias("average")
+    )
+
+
+def type_status(spark, sf_dir):
+    s = table(spark, sf_dir, "samples").select("uuid", "line_id", "received_at", "sample_type", "value_num")
+    checked = s.groupBy("sample_type").agg(F.max("received_at").alias("last_checked"), F.count(F.lit(1)).alias("n_received"))
+    kept = ingest.first_wins(s, "uuid", FIRST)
+    delivered = kept.groupBy(F.col("sample_type").alias("_t")).agg(F.max("received_at").alias("last_delivered"), F.count(F.lit(1)).alias("n_delivered"))
+    both = checked.join(delivered, F.col("sample_type").eqNullSafe(F.col("_t")), "left")
+    return both.select("sample_type", micros(both, "last_checked").alias("last_checked_us"), micros(both, "last_delivered").alias("last_delivered_us"), "n_received", "n_delivered")
+
+
+def missing_anchor(spark, sf_dir):
+    kept = table(spark, sf_dir, "batch_elements").select(F.col("sample_type").alias("_t"))
+    return table(spark, sf_dir, "sample_types").join(kept, F.col("sample_type") == F.col("_t"), "left_anti").select("sample_type")
+
+
+def ordered_groups(spark, sf_dir):
+    types = registry.registry(spark).select("key", "group", "ord")
+    seen = table(spark, sf_dir, "samples").select(F.col("sample_type").alias("key"), F.lit("samples").alias("group"), F.lit(1000).alias("ord"))
+    both = types.unionByName(seen)
+    firsts = both.groupBy("group").agg(F.min("ord").alias("first_seen"), F.size(F.collect_set("key")).alias("n_types"))
+    return firsts.orderBy("first_seen")
+
+
+def keyset_page(spark, sf_dir):
+    return ingest.page(table(spark, sf_dir, "samples").select("line_id", "uuid", "sample_type"), "line_id", 1000)
+
+
+def chunk(spark, sf_dir):
+    el = table(spark, sf_dir, "batch_elements").select("queue_id", "element_id")
+    ranked = spread_rank(el, ["queue_id"], "element_id", 100_000, "rank")
+    parts = ranked.groupBy("queue_id", F.floor((F.col("rank") - 1) / 50).alias("part"))
+    sizes = parts.agg(F.count(F.lit(1)).alias("n"), F.min("element_id").alias("first_element"), F.max("element_id").alias("last_element"))
+    anchor = F.when(F.col("part") == F.max("part").over(Window.partitionBy("queue_id")), F.col("last_element"))
+    return sizes.select("queue_id", "part", "n", "first_element", anchor.alias("anchor"))
+
+
+def fifo_prefix(spark, sf_dir):
+    el = table(spark, sf_dir, "batch_elements")
+    failed = F.coalesce((F.col("sample_type") == "heartRate") & (F.col("value_num") > 120), F.lit(False))
+    return ingest.prefix_before_failure(el.select("queue_id", "batch_seq", failed.alias("failed")), "queue_id", "batch_seq", "failed")
+
+
+def backoff(spark, sf_dir):
+    el = table(spark, sf_dir, "batch_elements")
+    wait = wait_seconds(F.col("pos") + 1)
+    at = micros(el, "received_at")
+    rows = el.select("element_id", wait.alias("wait_s"), (at + wait * 1_000_000).alias("next_us"), at.alias("_at"))
+    due = F.col("next_us") <= F.col("_at") + 600_000_000
+    return rows.select("element_id", "wait_s", "next_us", due.alias("due"))
+
+
+def quarantine(spark, sf_dir):
+    r = table(spark, sf_dir, "import_records").where("metadata is not null")
+    cut = F.expr("substring(metadata, 1, length(metadata) - 1)")
+    body = F.when(F.col("device_zone").isNull(), cut).otherwise(F.concat(F.lit("["), F.col("metadata"), F.lit("]")))
+    return ingest.rejected(r.select("import_id", body.alias("body"))).select("import_id", "reason")
+
+
+def sanitize(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", type_stem(F.col("applicant")).alias("stem"))
+
+
+def ts_offset(spark, sf_dir):
+    zones = table(spark, sf_dir, "sources").select(F.col("source").alias("_s"), "device_zone")
+    s = table(spark, sf_dir, "samples").select("line_id", "source", "received_at").join(zones, F.col("source") == F.col("_s"), "left")
+    return s.select("line_id", in_zone(F.col("received_at"), F.coalesce("device_zone", F.lit("UTC"))).alias("received"))
+
+
+def zone_provenance(spark, sf_dir):
+    r = table(spark, sf_dir, "import_records")
+    used = F.coalesce(_zone(), F.col("device_zone"), F.lit("UTC"))
+    return r.select("import_id", _zone().alias("recorded_zone"), used.alias("zone"), F.coalesce(_zone().isNotNull(), F.lit(False)).alias("recorded"))
+
+
+def url_normalise(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    host = F.concat("source", F.lit(".example:8787"))
+    raw = (
+        F.when(F.col("n_claims") > 8, F.concat(F.lit("  https://"), host, F.lit("//")))
+        .when(F.col("n_claims") > 4, F.concat(host, F.lit("/ ")))
+        .when(F.col("n_claims") > 0, F.lit("http://"))
+        .otherwise(host)
+    )
+    base = base_url(raw)
+    return d.select("doc_id", base.alias("base"), endpoint(base, "ingest").alias("ingest_url"))
+
+
+def batch_names(spark, sf_dir):
+    el = table(spark, sf_dir, "batch_elements")
+    return el.select("element_id", batch_name(F.col("element_id"), F.coalesce("uuid", "queue_id")).alias("name"))
+
+
+def http_status(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    path = F.when(F.col("kind_code") == "U1", "/elsewhere").otherwise("/ingest")
+    status = request_status(path, F.lower("lang") == "en", F.when(F.col("n_claims") == 0, 0).otherwise(F.col("n_chars")), 4000)
+    return d.select("doc_id", status.alias("status"), status.between(200, 299).alias("delivered"))
+
+
+def status_label(spark, sf_dir):
+    sums = table(spark, sf_dir, "samples").groupBy("sample_type").agg(F.count(F.lit(1)).alias("n"), F.count("value_num").alias("n_values"))
+    text = F.when(F.col("n_values") == 0, "no values").when(F.col("n_values") < F.col("n"), "some values").otherwise("all values")
+    return sums.select("sample_type", "n", text.alias("status"))
+
+
+def top_recent(spark, sf_dir):
+    s = table(spark, sf_dir, "samples")
+    return s.select("line_id", "sample_type", "received_at").orderBy(F.desc("received_at"), F.desc("line_id")).limit(200).select("line_id", "sample_type")
+
+
+def log_tail(spark, sf_dir):
+    r = table(spark, sf_dir, "import_records").select("import_id", "metadata").orderBy(F.desc("import_id")).limit(100)
+    return r.where(F.try_parse_json("metadata").isNotNull()).select("import_id")
+
+
+def truncate(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.substring("text", 1, 120).alias("snippet"), F.substring("pub_number", 1, 8).alias("short_id"))
+
+
+def crc32(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.crc32(F.encode("text", "utf-8")).alias("crc"))
+
+
+QUERIES = {
+    "scan_samples": scan_samples, "enabled_filter": enabled_filter, "registry_scale": registry_scale, "category_label": category_label,
+    "kind_guard": kind_guard, "element_split": element_split, "json_typed": json_typed, "json_encode": json_encode,
+    "receivedat_override": receivedat_override, "metadata_merge": metadata_merge, "dedupe_first_wins": dedupe_first_wins,
+    "dedupe_new_only": dedupe_new_only, "ingest_counts": ingest_counts, "tombstone_flatten": tombstone_flatten,
+    "tombstone_new_only": tombstone_new_only, "positive_stat_fallback": positive_stat_fallback, "interval_stats": interval_stats,
+    "type_status": type_status, "missing_anchor": missing_anchor, "ordered_groups": ordered_groups, "keyset_page": keyset_page,
+    "chunk": chunk, "fifo_prefix": fifo_prefix, "backoff": backoff, "quarantine": quarantine, "sanitize": sanitize,
+    "ts_offset": ts_offset, "zone_provenance": zone_provenance, "url_normalise": url_normalise, "batch_name": batch_names,
+    "http_status": http_status, "status_label": status_label, "top_recent": top_recent, "log_tail": log_tail, "truncate": truncate,
+    "crc32": crc32,
+}

@@ -1 +1,138 @@
-SQL = {}
+"""SQL with the results of the queries, written independently of them, over the same whole tables."""
+
+from __future__ import annotations
+
+from ..operators.registry import ROWS, SLEEP_STAGES
+from .catalogue import CUTOFF
+
+
+def _quoted(x: object) -> str:
+    return "NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+
+
+_REGISTRY = ", ".join(f"({i}, {', '.join(_quoted(x) for x in r)})" for i, r in enumerate(ROWS, 1))
+_TYPES = f"(VALUES {_REGISTRY}) r(ord, key, display, grp, kind, unit, scale, frequency)"
+_STAGES = f"(VALUES {', '.join(f'({i}, {_quoted(s)})' for i, s in enumerate(SLEEP_STAGES))}) l(code, label)"
+_S = "CAST(epoch(CAST({} AS TIMESTAMPTZ)) AS BIGINT)"
+_START, _END = _S.format("start_time"), _S.format("end_time")
+
+_ACC = f"""acc AS (
+  SELECT s.uuid, s.source, s.sample_type, CAST(substr(s.start_time, 1, 10) AS DATE) AS d, s.value_num AS v,
+         row_number() OVER (PARTITION BY s.uuid ORDER BY s.received_at, s.line_id) AS k
+  FROM samples s JOIN sample_types t USING (sample_type) WHERE t.shape = 'accumulated'),
+daily AS (SELECT source, sample_type, d, count(*) AS n, sum(v) AS v FROM acc WHERE k = 1 GROUP BY ALL),
+ahead AS (SELECT *, lead(d) OVER (PARTITION BY source, sample_type ORDER BY d) AS nd FROM daily),
+grid AS (
+  SELECT source, sample_type, CAST(unnest(generate_series(d, CASE WHEN nd - d - 1 BETWEEN 1 AND 20 THEN nd - 1 ELSE d END, INTERVAL 1 DAY)) AS DATE) AS d FROM ahead),
+full_days AS (SELECT g.source, g.sample_type, g.d, coalesce(a.n, 0) AS n, coalesce(a.v, 0) AS v FROM grid g LEFT JOIN daily a USING (source, sample_type, d)),
+totals AS (
+  SELECT source, sample_type, d, n,
+    sum(v) OVER w7 AS t7, sum(n) OVER w7 AS n7, sum(v) OVER w30 AS t30, sum(n) OVER w30 AS n30
+  FROM full_days
+  WINDOW w7 AS (PARTITION BY source, sample_type ORDER BY d RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT ROW),
+         w30 AS (PARTITION BY source, sample_type ORDER BY d RANGE BETWEEN INTERVAL 29 DAY PRECEDING AND CURRENT ROW))"""
+
+_CHANGES = """changes AS (
+  SELECT DISTINCT upper(uuid) AS u, queue_id, batch_seq, pos, 1 AS kind FROM batch_elements WHERE deleted IS NULL AND uuid IS NOT NULL
+  UNION
+  SELECT upper(x), queue_id, batch_seq, pos, 0 FROM (SELECT unnest(deleted) AS x, queue_id, batch_seq, pos FROM batch_elements) WHERE x IS NOT NULL),
+latest AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY batch_seq DESC, pos DESC, queue_id DESC, kind DESC) AS k FROM changes)"""
+
+_SLEEP = f"""spans AS (SELECT DISTINCT source, {_START} AS s, {_END} AS e FROM samples WHERE sample_type = 'sleepAnalysis'),
+ordered AS (SELECT *, max(e) OVER (PARTITION BY source ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM spans WHERE e > s),
+numbered AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS p FROM ordered),
+merged AS (SELECT source, p, min(s) AS s, max(e) AS e FROM numbered GROUP BY ALL)"""
+
+_ARRIVED = f"""arr AS (
+  SELECT s.uuid, any_value(s.source) AS source, any_value(s.sample_type) AS sample_type, any_value({_S.format('s.start_time')}) AS sec, any_value(s.value_num) AS v,
+         CAST(epoch_us(min(s.received_at)) AS BIGINT) AS us
+  FROM samples s JOIN sample_types t USING (sample_type) WHERE t.shape IN ('sampled', 'daily', 'accumulated') GROUP BY s.uuid),
+placed AS (SELECT *, CAST(floor(sec / 86400) AS BIGINT) AS d FROM arr),
+judged AS (SELECT *, us <= (d + 1) * 86400000000 + 7200000000 AS pub, us <= (d + 1) * 86400000000 + 259200000000 AS opn FROM placed)"""
+
+_HOURS = f"""readings AS (
+  SELECT s.uuid, any_value(s.source) AS source, any_value(s.sample_type) AS sample_type, any_value(s.value_num) AS v,
+         any_value(CAST(floor({_S.format('s.start_time')} / 3600) AS BIGINT)) AS h
+  FROM samples s JOIN sample_types t USING (sample_type) WHERE t.shape = 'sampled' AND s.value_num IS NOT NULL GROUP BY s.uuid),
+hours AS (SELECT source, sample_type, h, count(*) AS n, avg(v) AS m FROM readings GROUP BY ALL),
+ahead AS (SELECT *, lead(h) OVER (PARTITION BY source, sample_type ORDER BY h) AS nh FROM hours)"""
+
+_ELEMENTS = """els AS (SELECT element_id, queue_id, uuid, deleted, received_at FROM batch_elements),
+ids AS (SELECT element_id, queue_id, received_at, x FROM (SELECT element_id, queue_id, received_at, unnest(deleted) AS x FROM els) WHERE x IS NOT NULL)"""
+
+SQL = {
+    "p1_totals": f"WITH {_ACC} SELECT source, sample_type, d AS local_day, CAST(n AS BIGINT) AS n, CAST(t7 AS DOUBLE) AS t7, CAST(n7 AS BIGINT) AS n7, CAST(t7 AS DOUBLE) / 7 AS avg7, CAST(t30 AS DOUBLE) AS t30, CAST(n30 AS BIGINT) AS n30, CAST(t30 AS DOUBLE) / 30 AS avg30 FROM totals",
+    "p1_found": f"WITH {_ACC} SELECT source, sample_type, CAST(d AS VARCHAR) AS local_day FROM totals WHERE 60 * t7 < 7 * t30",
+    "p2_found": f"WITH {_CHANGES} SELECT u AS uuid, batch_seq, pos FROM latest WHERE k = 1 AND kind = 1",
+    "p2_state": f"""WITH {_CHANGES}
+      SELECT DISTINCT l.u AS uuid, l.queue_id, l.batch_seq, l.pos, b.sample_type, b.start_time, b.end_time, b.value_num, b.value_text, b.source
+      FROM latest l JOIN batch_elements b ON upper(b.uuid) = l.u AND b.queue_id = l.queue_id AND b.batch_seq = l.batch_seq AND b.pos = l.pos AND b.deleted IS NULL
+      WHERE l.k = 1 AND l.kind = 1""",
+    "p3_found": f"""WITH {_SLEEP} SELECT source, gap_start_s, gap_end_s FROM (
+      SELECT source, e AS gap_start_s, lead(s) OVER (PARTITION BY source ORDER BY s) AS gap_end_s FROM merged) WHERE gap_end_s - gap_start_s < 43200""",
+    "p3_periods": f"WITH {_SLEEP} SELECT source, s AS period_start_s, e AS period_end_s FROM merged",
+    "p5_found": f"""WITH {_ARRIVED}, days AS (SELECT source, sample_type, d, count(*) FILTER (opn AND NOT pub) AS c, count(*) FILTER (NOT opn) AS x FROM judged GROUP BY ALL)
+      SELECT source, sample_type, CAST(DATE '1970-01-01' + CAST(d AS INTEGER) AS VARCHAR) AS event_day, 'corrected' AS outcome FROM days WHERE c > 0
+      UNION ALL SELECT source, sample_type, CAST(DATE '1970-01-01' + CAST(d AS INTEGER) AS VARCHAR), 'dropped' FROM days WHERE x > 0""",
+    "p7_found": f"""WITH {_HOURS} SELECT source, sample_type, hour_start_s FROM (
+      SELECT source, sample_type, unnest(generate_series((h + 1) * 3600, (nh - 1) * 3600, 3600)) AS hour_start_s FROM ahead WHERE nh - h BETWEEN 2 AND 48)""",
+    "scan_samples": "SELECT line_id, uuid, sample_type, start_time, end_time, value_num, value_text, unit_label AS unit, source, regexp_extract(start_time, '(Z|[+-]\\d\\d:\\d\\d)$', 1) AS start_offset, metadata ->> '$.timeZone' AS zone FROM samples",
+    "enabled_filter": "SELECT line_id, sample_type FROM samples WHERE sample_type IS DISTINCT FROM 'heartRate'",
+    "registry_scale": f"SELECT line_id, round(value_num * r.scale, 6) AS scaled_value, r.unit FROM samples LEFT JOIN {_TYPES} ON sample_type = r.key",
+    "category_label": f"SELECT line_id, CAST(length(value_text) AS INTEGER) AS code, coalesce(l.label, 'value_' || length(value_text)) AS label FROM samples LEFT JOIN {_STAGES} ON l.code = length(value_text) WHERE sample_type = 'sleepAnalysis'",
+    "kind_guard": f"""WITH f AS (SELECT sample_type, coalesce((r.kind = 'quantity') = (value_num IS NOT NULL), false) AS ok FROM samples LEFT JOIN {_TYPES} ON sample_type = r.key)
+      SELECT sample_type, count(*) FILTER (ok) AS kept, count(*) FILTER (NOT ok) AS skipped FROM f GROUP BY 1""",
+    "element_split": "SELECT queue_id, CASE WHEN deleted IS NOT NULL THEN 'tombstone' ELSE 'sample' END AS kind, count(*) AS n FROM batch_elements GROUP BY ALL",
+    "json_typed": "SELECT import_id, CASE WHEN json_type(metadata, '$.timeZone') = 'VARCHAR' THEN metadata ->> '$.timeZone' END AS zone, CASE WHEN json_type(metadata, '$.HKWasUserEntered') = 'BOOLEAN' THEN CAST(metadata ->> '$.HKWasUserEntered' AS BOOLEAN) END AS entered FROM import_records",
+    "json_encode": """SELECT line_id, '{"start":"' || start_time || '","type":"' || sample_type || '"' || CASE WHEN unit_label IS NULL THEN '' ELSE ',"unit":"' || unit_label || '"' END
+      || ',"uuid":"' || uuid || '"' || CASE WHEN value_num IS NULL THEN '' WHEN value_num = floor(value_num) THEN ',"value":' || CAST(CAST(value_num AS BIGINT) AS VARCHAR)
+      ELSE ',"value":' || CAST(value_num AS VARCHAR) END || '}' AS json FROM samples""",
+    "receivedat_override": "SELECT import_id, coalesce(device_zone, 'none') AS zone, CAST(1 + CASE WHEN json_exists(metadata, '$.HKWasUserEntered') THEN 1 ELSE 0 END AS INTEGER) AS n_keys FROM import_records",
+    "metadata_merge": "SELECT import_id, metadata ->> '$.HKWasUserEntered' AS entered, CAST(CASE WHEN json_exists(metadata, '$.HKWasUserEntered') THEN 1 END AS INTEGER) AS n_keys FROM import_records",
+    "dedupe_first_wins": "SELECT uuid, line_id, sample_type FROM samples QUALIFY row_number() OVER (PARTITION BY uuid ORDER BY received_at, line_id) = 1",
+    "dedupe_new_only": f"""SELECT uuid, line_id FROM (SELECT * FROM samples WHERE received_at >= TIMESTAMP '{CUTOFF}' QUALIFY row_number() OVER (PARTITION BY uuid ORDER BY received_at, line_id) = 1)
+      WHERE uuid NOT IN (SELECT uuid FROM samples WHERE received_at < TIMESTAMP '{CUTOFF}')""",
+    "ingest_counts": f"""WITH {_ELEMENTS},
+      new AS (SELECT queue_id, count(*) AS n FROM (SELECT * FROM els WHERE deleted IS NULL AND uuid IS NOT NULL QUALIFY row_number() OVER (PARTITION BY uuid ORDER BY element_id) = 1) GROUP BY 1),
+      gone AS (SELECT queue_id, count(*) AS n FROM (SELECT * FROM ids QUALIFY rank() OVER (PARTITION BY x ORDER BY element_id) = 1) GROUP BY 1)
+      SELECT e.queue_id, count(*) AS received, coalesce(any_value(new.n), 0) AS new, coalesce(any_value(gone.n), 0) AS deleted
+      FROM els e LEFT JOIN new USING (queue_id) LEFT JOIN gone USING (queue_id) GROUP BY 1""",
+    "tombstone_flatten": f"WITH {_ELEMENTS} SELECT x AS uuid, min(element_id) AS first_element, count(*) AS n FROM ids GROUP BY 1",
+    "tombstone_new_only": f"""WITH {_ELEMENTS} SELECT x AS uuid, element_id FROM (SELECT * FROM ids WHERE received_at >= TIMESTAMP '2026-02-01' QUALIFY rank() OVER (PARTITION BY x ORDER BY element_id) = 1)
+      WHERE x NOT IN (SELECT x FROM ids WHERE received_at < TIMESTAMP '2026-02-01')""",
+    "positive_stat_fallback": "SELECT source, round(CASE WHEN sum(total_energy_burned) > 0 THEN sum(total_energy_burned) ELSE max(duration) END, 3) AS total FROM samples WHERE sample_type = 'workout' GROUP BY 1",
+    "interval_stats": f"""WITH w AS (SELECT line_id, source, {_START} AS lo, {_END} AS hi FROM samples WHERE sample_type = 'workout'),
+      h AS (SELECT source, {_START} AS sec, value_num AS v FROM samples WHERE sample_type IN ('heartRate', 'stepCount'))
+      SELECT line_id, count(*) AS n, min(v) AS lowest, max(v) AS highest, round(avg(v), 6) AS average FROM w JOIN h ON w.source = h.source AND sec BETWEEN lo AND hi GROUP BY 1""",
+    "type_status": """SELECT sample_type, CAST(epoch_us(max(received_at)) AS BIGINT) AS last_checked_us, CAST(epoch_us(max(received_at) FILTER (k = 1)) AS BIGINT) AS last_delivered_us,
+      count(*) AS n_received, count(*) FILTER (k = 1) AS n_delivered
+      FROM (SELECT *, row_number() OVER (PARTITION BY uuid ORDER BY received_at, line_id) AS k FROM samples) GROUP BY 1""",
+    "missing_anchor": "SELECT sample_type FROM sample_types WHERE sample_type NOT IN (SELECT sample_type FROM batch_elements WHERE sample_type IS NOT NULL)",
+    "ordered_groups": f"""SELECT grp AS "group", min(ord) AS first_seen, CAST(count(DISTINCT key) AS INTEGER) AS n_types FROM (
+      SELECT grp, ord, key FROM {_TYPES} UNION ALL SELECT 'samples', 1000, sample_type FROM samples) GROUP BY 1""",
+    "keyset_page": "SELECT line_id, uuid, sample_type FROM samples WHERE line_id > 1000 ORDER BY line_id LIMIT 5000",
+    "chunk": """WITH r AS (SELECT queue_id, element_id, (row_number() OVER (PARTITION BY queue_id ORDER BY element_id) - 1) // 50 AS part FROM batch_elements),
+      c AS (SELECT queue_id, part, count(*) AS n, min(element_id) AS first_element, max(element_id) AS last_element FROM r GROUP BY ALL)
+      SELECT queue_id, CAST(part AS BIGINT) AS part, n, first_element, CASE WHEN part = max(part) OVER (PARTITION BY queue_id) THEN last_element END AS anchor FROM c""",
+    "fifo_prefix": """WITH f AS (SELECT queue_id, batch_seq, min(batch_seq) FILTER (sample_type = 'heartRate' AND value_num > 120) OVER (PARTITION BY queue_id) AS stop FROM batch_elements),
+      g AS (SELECT *, stop IS NULL OR batch_seq < stop AS done FROM f)
+      SELECT queue_id, count(*) FILTER (done) AS delivered, count(*) FILTER (NOT done) AS pending, max(batch_seq) FILTER (done) AS anchor FROM g GROUP BY 1""",
+    "backoff": """WITH b AS (SELECT element_id, CAST(least(3600, 60 * pow(2, pos)) AS BIGINT) AS wait_s, CAST(epoch_us(received_at) AS BIGINT) AS us FROM batch_elements)
+      SELECT element_id, wait_s, us + wait_s * 1000000 AS next_us, wait_s <= 600 AS due FROM b""",
+    "quarantine": "SELECT import_id, 'json' AS reason FROM import_records WHERE metadata IS NOT NULL AND device_zone IS NULL AND NOT json_valid(substr(metadata, 1, length(metadata) - 1))",
+    "sanitize": "SELECT doc_id, CASE WHEN coalesce(applicant, '') = '' THEN 'unknown' ELSE regexp_replace(applicant, '[^A-Za-z0-9_-]', '_', 'g') END AS stem FROM documents",
+    "ts_offset": """WITH z AS (SELECT s.line_id, s.received_at AS utc, coalesce(d.device_zone, 'UTC') AS zone FROM samples s LEFT JOIN sources d USING (source)),
+      l AS (SELECT line_id, utc, timezone(zone, timezone('UTC', utc)) AS wall FROM z),
+      o AS (SELECT line_id, wall, CAST((epoch_us(wall) - epoch_us(utc)) // 60000000 AS BIGINT) AS m FROM l)
+      SELECT line_id, strftime(wall, '%Y-%m-%dT%H:%M:%S') || CASE WHEN m = 0 THEN 'Z' ELSE (CASE WHEN m < 0 THEN '-' ELSE '+' END) || lpad(CAST(abs(m) // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(abs(m) % 60 AS VARCHAR), 2, '0') END AS received FROM o""",
+    "zone_provenance": "SELECT import_id, metadata ->> '$.timeZone' AS recorded_zone, coalesce(metadata ->> '$.timeZone', device_zone, 'UTC') AS zone, (metadata ->> '$.timeZone') IS NOT NULL AS recorded FROM import_records",
+    "url_normalise": """WITH u AS (SELECT doc_id, CASE WHEN n_claims > 8 THEN 'https://' || source || '.example:8787' WHEN n_claims > 4 THEN 'http://' || source || '.example:8787'
+      WHEN n_claims > 0 THEN NULL ELSE 'http://' || source || '.example:8787' END AS base FROM documents) SELECT doc_id, base, base || '/ingest' AS ingest_url FROM u""",
+    "batch_name": "SELECT element_id, 'batch-' || lpad(CAST(element_id AS VARCHAR), 12, '0') || '-' || substr(coalesce(uuid, queue_id), 1, 8) || '.json' AS name FROM batch_elements",
+    "http_status": """WITH h AS (SELECT doc_id, CAST(CASE WHEN kind_code = 'U1' THEN 404 WHEN coalesce(lower(lang), '') <> 'en' THEN 401 WHEN n_claims = 0 OR n_chars = 0 THEN 400 WHEN n_chars > 4000 THEN 413 ELSE 200 END AS INTEGER) AS status FROM documents)
+      SELECT doc_id, status, status BETWEEN 200 AND 299 AS delivered FROM h""",
+    "status_label": "SELECT sample_type, count(*) AS n, CASE WHEN count(value_num) = 0 THEN 'no values' WHEN count(value_num) < count(*) THEN 'some values' ELSE 'all values' END AS status FROM samples GROUP BY 1",
+    "top_recent": "SELECT line_id, sample_type FROM samples ORDER BY received_at DESC, line_id DESC LIMIT 200",
+    "log_tail": "SELECT import_id FROM (SELECT import_id, metadata FROM import_records ORDER BY import_id DESC LIMIT 100) WHERE metadata IS NOT NULL AND json_valid(metadata)",
+    "truncate": "SELECT doc_id, substr(text, 1, 120) AS snippet, substr(pub_number, 1, 8) AS short_id FROM documents",
+}
