@@ -26,7 +26,7 @@ _DATES = [
 ]
 _TIME = r"(?P<h>99?):(?P<m>99)(?::(?P<s>99)(?:[.,](?P<f>9{1,9}))?)?"
 _BASIC = r"(?P<h>99)(?P<m>99)(?:(?P<s>99)(?:[.,](?P<f>9{1,9}))?)?"
-_ZONE = r"(?: ?(?P<p>aa))?(?: ?(?P<o>[-+]99(?::?99)?)| ?(?P<z>a{1,5}))?(?: ?\[(?P<id>[^\]]+)\])?"
+_ZONE = r"(?: ?(?P<p>aa)(?!a))?(?: ?(?P<o>[-+]99(?::?99)?)| ?(?P<z>a{1,5}))?(?: ?\[(?P<id>[^\]]+)\])?"
 _SHAPES = [
     re.compile(f"{date}(?:(?P<t>a)|,? (?P<at>aa )?){_BASIC if k == 1 else _TIME}{_ZONE}") for k, date in enumerate(_DATES)
 ]
