@@ -146,7 +146,7 @@ def described(text: str, common: dict[str, int]) -> dict:
 
     def close() -> None:
         stretch = " ".join(open_)
-        if len(stretch) < 60:
+        if len(stretch) < 20:
             prose.extend(open_)
         elif _is_salad(stretch, common):
             size["junk"] += len(stretch) + 1
