@@ -191,7 +191,7 @@ def judged(
     seen = staged(ordered.mapInArrow(_walk(limits if limits is not None else POSSIBLE), schema))
 
     residual = F.col("_value") - F.col("_level")
-    normal = seen.where("_possible and not _stuck").withColumn("_residual", residual)
+    normal = seen.where("_possible and not _stuck").withColumn("_residual", residual).where("_residual between -1e300 and 1e300")
     parts = normal.groupBy("_source", "_type", "_context").agg(F.kll_sketch_agg_double("_residual").alias("_sketch"))
     whole = parts.groupBy("_source", "_type").agg(F.kll_merge_agg_double("_sketch").alias("_all"))
 
