@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import words
+from .words import spread, words
 
 RUN = 12  # successive words of an item that make a leak
 PASSAGE, STRIDE = 24, 12  # words; every run of RUN lies whole in some passage
@@ -172,7 +172,7 @@ def leaked_items(
         index = Index([(r[0], r[1]) for r in part.select(item_id, item_text).collect()])
         sent = docs.sparkSession.sparkContext.broadcast(index)
         walk = lambda batches, sent=sent: _scan(sent.value)(batches)
-        own = rows.mapInArrow(walk, f"_doc {kind}, item_id bigint, longest_run int, item_share double")
+        own = spread(rows).mapInArrow(walk, f"_doc {kind}, item_id bigint, longest_run int, item_share double")
         found = own if found is None else found.unionByName(own)
     best = found.groupBy("_doc", "item_id").agg(F.max("longest_run").alias("longest_run"), F.max("item_share").alias("item_share"))
     return best.select(F.col("_doc").alias(doc_id), F.col("item_id").alias(item_id), "longest_run", "item_share")

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import spread
+
 WORD = re.compile(r"[^\W\d_]+")
 _RULE = re.compile(r"[-=_|+:*\s]{4,}")
 _GAPS = re.compile(r"(?<=\S)(?: {3,}|\t+ *)(?=\S)")
@@ -263,5 +265,5 @@ def text_quality(docs: DataFrame, common: DataFrame, doc_id: str = "doc_id", tex
 
     rows = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text"))
     kind = dict(rows.dtypes)["_doc"]
-    done = rows.mapInArrow(walk, f"_doc {kind}, " + ", ".join(f"{f} {k}" for f, k in FIELDS.items()))
+    done = spread(rows).mapInArrow(walk, f"_doc {kind}, " + ", ".join(f"{f} {k}" for f, k in FIELDS.items()))
     return done.withColumnRenamed("_doc", doc_id)

@@ -9,7 +9,8 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .words import spread
 
 #: File of ranks in the format of tiktoken; read on the driver and sent to the tasks (about a megabyte).
 RANKS = os.environ.get("CAIRNFLOW_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -42,4 +43,4 @@ def with_tokens(df: DataFrame, text: str, name: str = "n_tokens", ranks: str = R
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(sizes, pa.int64())], names=[*kept, name])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema)
-    return df.select(*kept, text).mapInArrow(count, f"{fields}, `{name}` bigint")
+    return spread(df.select(*kept, text)).mapInArrow(count, f"{fields}, `{name}` bigint")

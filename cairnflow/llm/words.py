@@ -6,6 +6,8 @@ import re
 import unicodedata
 from collections.abc import Container
 
+from pyspark.sql import DataFrame
+
 WORD = re.compile(r"[^\W_]+")
 _SOFT = re.compile("­[ \t]*(?:\r?\n[ \t]*)?|[​-‍⁠﻿]")
 _DIVIDED = re.compile(r"([^\W_]+)[-‐‑¬][ \t]*\r?\n[ \t]*([^\W_]+)")
@@ -33,3 +35,12 @@ def words(text: str | None, known: Container[str] | None = None) -> list[str]:
         for _ in range(2):  # a word between two divisions
             text = _DIVIDED.sub(join, text)
     return WORD.findall(text)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out evenly if it comes in fewer partitions than there are cores, as from one small file; else as it is.
+
+    Work on texts is bound by CPU, so a table of few partitions gains by the shuffle; a large one is never shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
