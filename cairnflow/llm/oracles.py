@@ -1,3 +1,29 @@
-"""SQL with the results of the queries on texts, where SQL can express them. Texts are judged word by word: none can."""
+"""SQL with the results of the queries on texts, written independently of them, over the same whole tables."""
 
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+_LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ß": "ss"}
+
+
+def _folded(text: str) -> str:
+    out = f"regexp_replace({text}, '\\u00AD[ \\t]*(\\r?\\n[ \\t]*)?|[\\u200B-\\u200D\\u2060\\uFEFF]', '', 'g')"
+    for a, b in _LIGATURES.items():
+        out = f"replace({out}, '{a}', '{b}')"
+    return f"lower({out})"
+
+
+_WORDS = "regexp_extract_all({}, '[\\p{{L}}\\p{{N}}]+')"
+#: A word divided at a line end is read as one and as two.
+_GRAMS = f"""d AS (SELECT doc_id, {_folded('text')} AS t FROM documents),
+r AS (SELECT doc_id, t FROM d UNION SELECT doc_id, regexp_replace(t, '[-‐‑¬][ \\t]*\\r?\\n[ \\t]*', '', 'g') FROM d),
+w AS (SELECT doc_id, {_WORDS.format('t')} AS ws FROM r),
+g AS (SELECT doc_id, array_to_string(ws[i : i + 11], ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 10)) AS i FROM w)),
+iw AS (SELECT item_id, {_WORDS.format(_folded('item_text'))} AS ws FROM eval_items),
+ig AS (SELECT DISTINCT item_id, array_to_string(ws[i : i + 11], ' ') AS gram FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 10)) AS i FROM iw)),
+hits AS (SELECT DISTINCT doc_id, item_id FROM g JOIN ig USING (gram))"""
+
+SQL = {
+    "p8_found": f"WITH {_GRAMS} SELECT doc_id, item_id FROM hits",
+    "p8_items": f"""WITH {_GRAMS}, n AS (SELECT item_id, count(*) AS n FROM hits GROUP BY 1)
+      SELECT item_id, len(ws) AS n_words, len(ws) >= 12 AS searchable, coalesce(n.n, 0) AS n_docs FROM iw LEFT JOIN n USING (item_id)""",
+}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .leakage import leaked_items
+from .leakage import leaked_items, searched_items
 from .mixing import mixed
 from .quality import text_quality
 from .tokens import with_tokens
@@ -26,6 +26,11 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_leaks(spark, sf_dir).select("doc_id", "item_id")
 
 
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every evaluation item with its words, whether it is long enough to be searched, and the documents that hold it."""
+    return searched_items(_table(spark, sf_dir, "eval_items"), p8_leaks(spark, sf_dir))
+
+
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", F.md5("text").alias("text_key"), "text")
     return mixed(with_tokens(docs, "text"), _table(spark, sf_dir, "mix_targets"))
@@ -52,6 +57,6 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_mix": p9_mix, "p9_shares": p9_shares,
+    "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_items": p8_items, "p9_mix": p9_mix, "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_quality": p10_quality,
 }

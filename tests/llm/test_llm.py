@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 import random
-import unicodedata
 import re
+import unicodedata
+from collections import Counter
 
+import numpy as np
 import pytest
 
-from cairnflow.llm.leakage import RUN, Index, leaked_items
+from cairnflow.llm.leakage import RUN, Index, leaked_items, searched_items
 from cairnflow.llm.mixing import capped_mean, cumulative, mixed, solved_rate
 from cairnflow.llm.quality import described, text_quality
 from cairnflow.llm.tokens import with_tokens
@@ -65,19 +67,51 @@ def test_leaks_at_random(spark):
     assert leaked_items(df, it.where("false")).count() == 0 and leaked_items(df.where("false"), it).count() == 0
 
 
-def test_no_leak_is_under_a_threshold():
-    index = Index([(i, " ".join(f"w{i * j % 37}" for j in range(1, 30))) for i in range(1, 20)])
-    for gram, owners in index.grams.items():
-        import numpy as np
-
-        terms = np.unique(np.frombuffer(gram, np.int32))
-        for j in owners:
-            assert index.weights[terms, j].sum() >= index.thresholds[j]
+@pytest.mark.parametrize("exponent", [1.05, 1.4])
+def test_no_leak_is_under_a_threshold(exponent):
+    rnd = np.random.default_rng(3)
+    texts = [[f"w{x}" for x in rnd.zipf(exponent, rnd.integers(5, 90))] for _ in range(120)]
+    texts += [["w1"] * 30, ["w1", "w2"] * 20, texts[7][:], [w for t in texts[:40] for w in t]]
+    index = Index([(i, " ".join(t)) for i, t in enumerate(texts)])
+    assert sorted(index.ids) == [i for i, t in enumerate(texts) if len(t) >= RUN]
+    number = index.vocabulary
+    for i, own in enumerate(texts):
+        for at in range(0, len(own) - RUN + 1, 5):
+            text = [f"w{x}" for x in rnd.zipf(exponent, rnd.integers(0, 20))] + own[at : at + RUN] + [f"w{x}" for x in rnd.zipf(exponent, 9)]
+            grams = {tuple(text[k : k + RUN]) for k in range(len(text) - RUN + 1)}
+            want = {j for j, t in enumerate(texts) if any(tuple(t[k : k + RUN]) in grams for k in range(len(t) - RUN + 1))} if at == 0 else {i}
+            got = {int(index.ids[j]) for _, j in index.found(np.array([number.get(w, index.n_words) for w in text]))}
+            assert want <= got and (at or want == got)
+
+
+def test_leaks_over_many_shards(spark):
+    rnd = np.random.default_rng(8)
+    items = [(i, " ".join(f"w{x}" for x in rnd.zipf(1.2, 40))) for i in range(300)] + [(1000, "one two"), (1001, None), (None, "x " * 40), (5, "w1 " * 20)]
+    docs = [(d, " ".join([*(f"w{x}" for x in rnd.zipf(1.2, 15)), *items[d * 3][1].split()[10:30]])) for d in range(90)] + [(900, "w1 " * 500)]
+    df, it = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, item_text string")
+    want = by_hand(docs, [x for x in items if x[0] is not None])
+    for sent in (150_000, 1 << 28):
+        got = leaked_items(df, it, shard_bytes=4000, sent_bytes=sent)
+        assert {(r.doc_id, r.item_id) for r in got.collect()} == want and got.count() == len(want)
+    report = {r.item_id: r for r in searched_items(it, got).collect()}
+    assert report[1000].searchable is False and report[1001].n_words == 0 and report[3].searchable and len(report) == 302
+    assert {i: r.n_docs for i, r in report.items() if r.n_docs} == dict(Counter(i for _, i in want))
+
+
+def test_question_and_answer(spark):
+    ask = "question nine why does the third lens drift so far overnight in the cold room"
+    reply = "answer because the glue of the mount creeps under its own weight when it is wet"
+    it = spark.createDataFrame([(1, f"{ask}? {reply}."), (2, ask)], "item_id int, item_text string")
+    df = spark.createDataFrame([(1, f"Pre {ask}; post"), (2, f"x {reply} y"), (3, f"{ask} - {reply}")], "doc_id int, text string")
+    got = {(r.doc_id, r.item_id): r for r in leaked_items(df, it).collect()}
+    assert (got[1, 1].question_share, got[1, 1].answer_share) == (1.0, 0.0) and (got[2, 1].question_share, got[2, 1].answer_share) == (0.0, 1.0)
+    assert got[3, 1].item_share == 1.0 and got[3, 1].longest_run == len(f"{ask} {reply}".split()) and got[1, 2].answer_share is None
 
 
 def test_words():
     assert words("The ﬁlter-\nhousing vex\xadgarvex, STRASSE/Straße 6.8") == ["the", "filterhousing", "vexgarvex", "strasse", "strasse", "6", "8"]
     assert words("well-\nknown a", {"well", "known"}) == ["well", "known", "a"] and words("pli-\nnav-\ntov") == ["plinavtov"]
+    assert words("well-\nknown, over-\n  all", {"well", "known", "over", "all", "overall"}) == ["well", "known", "overall"]
     assert words(None) == words("") == words("-- ...") == []
 
 
