@@ -6,7 +6,7 @@ _LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl",
 
 
 def _folded(text: str) -> str:
-    out = f"regexp_replace({text}, '\\u00AD[ \\t]*(\\r?\\n[ \\t]*)?|[\\u200B-\\u200D\\u2060\\uFEFF]', '', 'g')"
+    out = f"regexp_replace({text}, '\u00AD[ \\t]*(\\r?\\n[ \\t]*)?|[\u200B-\u200D\u2060\uFEFF]', '', 'g')"
     for a, b in _LIGATURES.items():
         out = f"replace({out}, '{a}', '{b}')"
     return f"lower({out})"
