@@ -56,7 +56,20 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_quality(spark, sf_dir).where("text_kind in ('list', 'table', 'junk')").select("doc_id", "text_kind")
 
 
+def p10_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every text that SQL can give too."""
+    return p10_quality(spark, sf_dir).select("doc_id", "n_chars", "n_words", F.round("duplicate_lines", 9).alias("duplicate_lines"), F.round("common_words", 9).alias("common_words"))
+
+
+def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every source its distinct texts, whether it comes within 0.01 of its share, and whether it keeps to its repeats."""
+    targets = _table(spark, sf_dir, "mix_targets").select(F.col("source").alias("_s"), "max_repeats")
+    shares = p9_shares(spark, sf_dir).join(F.broadcast(targets), F.col("source") == F.col("_s"))
+    near = F.abs(F.col("actual_share") - F.col("target_share")) < 0.01
+    return shares.select("source", "n_texts", near.alias("share_kept"), (F.col("most_copies") <= F.col("max_repeats")).alias("repeats_kept"))
+
+
 QUERIES = {
-    "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_items": p8_items, "p9_mix": p9_mix, "p9_shares": p9_shares,
-    "p10_found": p10_found, "p10_quality": p10_quality,
+    "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_items": p8_items, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_kept": p9_kept,
+    "p10_found": p10_found, "p10_quality": p10_quality, "p10_counts": p10_counts,
 }

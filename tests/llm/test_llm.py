@@ -13,7 +13,7 @@ import pytest
 
 from cairnflow.llm.leakage import RUN, Index, leaked_items, searched_items
 from cairnflow.llm.mixing import capped_mean, cumulative, mixed, solved_rate
-from cairnflow.llm.quality import described, text_quality
+from cairnflow.llm.quality import Common, described, text_quality
 from cairnflow.llm.tokens import with_tokens
 from cairnflow.llm.words import words
 
@@ -150,7 +150,7 @@ def test_tokens(spark):
     assert got[1] == 2 and got[2] == got[3] == 0 and got[4] > 1000
 
 
-COMMON = {w: 1 for w in "the of and a to in is that for it as was with be by on not he his but at are this have from or had an they which".split()}
+COMMON = Common([("en", w) for w in "the of and a to in is that for it as was with be by on not he his but at are this have from or had an they which".split()])
 PROSE = "The valve is opened by hand, which is slow, and the load on the lever is shared. It was found that the rod can be heated. "
 
 
@@ -161,7 +161,7 @@ PROSE = "The valve is opened by hand, which is slow, and the load on the lever i
         ("Claims\n\n1. A valve that is opened by hand and closed\nby a rod.\n\n2. The valve of claim 1 that is heated in\nthe shaft.\n\n3. The valve of claim 2, in which the rod is\nbent.", "prose"),
         ("[1] XQ 11 A1\n[2] XQ 12 B1\n[3] XQ 13 B1\n", "list"), ("rod (12); cap (13); pin (14); lid (15); nut (16); bolt (17)", "list"), ("B65G 25/2389\nC08L 9/876\nB23K 44/9166\nF16K 45/251", "list"),
         ("name\tsize\nrod\t5\ncap\t6", "table"), ("| a | b |\n|---|---|\n| 1 | 2 |", "table"), ("a      b      c\n------------\n1      2      3", "table"), ("rod;cap;pin\nEx. 1;3;4\nEx. 2;-;7", "table"),
-        ("left blank\n" * 8, "junk"), ("qzrt vbnm xxkr pttl wrgh sdfg zxcv bnmk qwrt plkj hgfd", "junk"), ("ÃÂÐ œ™¤ ¶§® ©þÃ Ñ±â " * 6, "junk"), ("acfhFJbgNu59WNDwa2JGctfEEs93apk6gO2/413nLFK3eLbm+8dUuPRfRoEcAXKjQAlaSQ05Dm8W", "junk"),
+        ("left blank\n" * 8, "junk"), (" ".join("".join("qzrtvbnmxkplwghsdfcj"[(i * k + k) % 20] for k in range(3, 9)) for i in range(40)), "junk"), ("Ã¤hnliche RÃ¤der drÃ¼cken fÃ¼r lÃ¤ngere LÃ¶sungen gegen Ã¶lige BÃ¼chsen", "junk"), ("acfhFJbgNu59WNDwa2JGctfEEs93apk6gO2/413nLFK3eLbm+8dUuPRfRoEcAXKjQAlaSQ05Dm8W", "junk"),
         ("............ 12 ______\n....... 14 ____\n......... 15 _____", "junk"), ("of rod be the an his cap it to pin from as lid not by at nut but are on was with in is and bolt that for had which they or this a have he seal flange core gear", "junk"),
         (PROSE + "\n\n* rod\n* cap\n* pin\n", "prose"),
     ],
@@ -172,6 +172,39 @@ def test_kinds(text, kind):
     assert all(0 <= got[k] <= 1 for k in got if k.endswith(("share", "ratio", "words", "lines")) and k != "n_words")
 
 
+SCRIPTS = {
+    "Cyrillic": "Клапан открывают вручную, что занимает много времени. Нагрузка на рычаг распределяется между двумя опорами. При нагреве стержень удлиняется, и зазор исчезает. Поэтому его делают из другого сплава.",
+    "Greek": "Η βαλβίδα ανοίγει με το χέρι, πράγμα που παίρνει πολύ χρόνο. Το φορτίο του μοχλού μοιράζεται σε δύο στηρίγματα. Όταν η ράβδος θερμαίνεται, το διάκενο εξαφανίζεται. Γι' αυτό κατασκευάζεται από άλλο κράμα.",
+    "Arabic": "يفتح الصمام باليد، وهذا يستغرق وقتا طويلا. يتوزع الحمل على الذراع بين دعامتين. عندما يسخن القضيب يختفي الخلوص، فهل يكفي ذلك؟ لذلك يصنع من سبيكة أخرى لا تتمدد كثيرا مع الحرارة.",
+    "Hebrew": "השסתום נפתח ביד, וזה לוקח זמן רב. העומס על המנוף מתחלק בין שתי תמיכות. כאשר המוט מתחמם הרווח נעלם. לכן הוא עשוי מסגסוגת אחרת שאינה מתפשטת הרבה עם החום.",
+    "Devanagari": "वाल्व को हाथ से खोला जाता है, जिसमें बहुत समय लगता है। भार दो सहारों के बीच बँट जाता है। जब छड़ गर्म होती है तो अंतर समाप्त हो जाता है। इसलिए इसे दूसरी मिश्रधातु से बनाया जाता है जो कम फैलती है।",
+    "Thai": "วาล์วถูกเปิดด้วยมือซึ่งใช้เวลานาน น้ำหนักบนคันโยกถูกแบ่งระหว่างฐานรองสองจุด เมื่อแท่งร้อนขึ้น ช่องว่างก็หายไป ดังนั้นจึงทำจากโลหะผสมชนิดอื่น ที่ขยายตัวน้อยกว่าเมื่อได้รับความร้อน",
+    "Han": "阀门由手动打开，这需要很长时间。杠杆上的载荷由两个支座分担。当杆受热时，间隙消失。因此它由另一种合金制成，这种合金在受热时膨胀较小。",
+    "Kana": "弁は手で開かれるため、時間がかかる。レバーにかかる荷重は二つの支持部で分担される。棒が加熱されると、すき間がなくなる。そのため、熱による膨張が小さい別の合金で作られている。",
+    "Hangul": "밸브는 손으로 열기 때문에 시간이 오래 걸린다. 레버에 걸리는 하중은 두 개의 지지대가 나누어 받는다. 막대가 가열되면 틈이 사라진다. 그래서 열에 덜 팽창하는 다른 합금으로 만든다.",
+    "Georgian": "სარქველი იხსნება ხელით, რასაც დიდი დრო სჭირდება. ბერკეტზე დატვირთვა ორ საყრდენს შორის ნაწილდება. როცა ღერო ცხელდება, ღრეჩო ქრება. ამიტომ იგი სხვა შენადნობისგან მზადდება.",
+    "Tamil": "வால்வு கையால் திறக்கப்படுகிறது, இதற்கு அதிக நேரம் ஆகும். சுமை இரண்டு தாங்கிகளுக்கு இடையே பகிரப்படுகிறது. தண்டு சூடாகும்போது இடைவெளி மறைகிறது. எனவே இது வேறு உலோகக் கலவையால் செய்யப்படுகிறது.",
+    "Vietnamese": "Van được mở bằng tay, việc này mất nhiều thời gian. Tải trọng trên đòn bẩy được chia cho hai gối đỡ. Khi thanh nóng lên, khe hở biến mất. Vì vậy nó được làm bằng một hợp kim khác.",
+    "Polish": "Zawór otwiera się ręcznie, co zajmuje dużo czasu. Obciążenie dźwigni rozkłada się na dwie podpory. Gdy pręt się nagrzewa, szczelina znika. Dlatego wykonuje się go z innego stopu.",
+}
+
+
+@pytest.mark.parametrize("script", SCRIPTS)
+def test_prose_of_any_script(script):
+    text = SCRIPTS[script]
+    for t in (text, text.replace(". ", ".\n").replace("。", "。\n").replace("। ", "।\n"), f"Title\n\n{text}\n\n(12) {text[:60]}"):
+        got = described(t, COMMON)
+        assert got["text_kind"] == "prose" and got["junk_share"] < 0.1, got
+
+
+def test_repetition():
+    page = "Filed under the rules of the office.\nSheet of the record, kept by hand.\n"
+    assert described(page * 2 + "An end.", COMMON)["text_kind"] == "boilerplate" and described(page * 5, COMMON)["text_kind"] == "junk"
+    assert described("to the rod " * 40, COMMON)["text_kind"] == "junk" and described("*** ### " * 30, COMMON)["text_kind"] == "junk"
+    many = Common([(f"l{i}", w) for i in range(9) for w in ("the", "w" + chr(97 + i))])
+    assert described("the wd is we we here", many)["common_words"] == 0.5
+
+
 def test_quality(spark):
     df = spark.createDataFrame([(1, PROSE, "x"), (1, PROSE, "y"), (2, None, "x"), (3, "", "x"), (4, "word " * 50_000, "x")], "doc_id int, text string, text_kind string")
     common = spark.createDataFrame([("en", "the"), ("en", "is"), ("de", "ist"), (None, "x")], "lang string, word string")
