@@ -20,14 +20,14 @@ _GAPS = re.compile(r"(?<=\S)(?: {3,}|\t+ *)(?=\S)")
 _ENTRY = re.compile(
     r"""[*•·▪‣–—-][ ]|\[\d+\][ ]|<\d+>[ ]|\(?(?:\d{1,4}[a-z]?|[a-z]{1,2}|[ivx]+)[.):][ ]|\d{1,4}[a-z]?[ ]|[A-H]\d\d[A-Z][ ]\d+/\d+""",
 )
-_SENTENCES = re.compile(r"(?<=[.!?])\s+")
-_WIDE_SENTENCES = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
+_SENTENCES = re.compile(r"[.!?]\s+|[。！？]")
 _PUNCTUATION = re.compile(r"[,.;:!?](?=\s|$)")
 _LEADERS = re.compile(r"[.…_·]{5,}")
 #: What the first and a later byte of UTF-8 look like in a single-byte encoding.
 _MISREAD = re.compile(r"[Â-ô][\x80-¿Œ-™]")
 #: Characters of any prose; letters, marks and digits beyond ASCII are asked for one by one.
-_COMMON = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 \n\r\t.,;:!?()'\"-/%„“”‘’«»°±–—")
+_COMMON = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 \n\r\t.,;:!?()[]'\"-/%„“”‘’«»°±–—")
+_APART = str.maketrans({chr(i): " " for i in range(128) if not chr(i).isalpha()})
 _ASCII_PLAIN = bytes(range(48, 58)) + bytes(range(65, 91)) + bytes(range(97, 123)) + b" \n\t\r\x0b\x0c"
 
 #: Bytes of common words that may go with the tasks.
@@ -85,14 +85,19 @@ def _is_row(line: str) -> bool:
     return len(cells) >= 2 and [len(c) <= 30 for c in cells].count(True) >= 0.75 * len(cells)
 
 
-def _is_strange(text: str, tokens: list[str]) -> bool:
-    """Whether a text may have garbled lines: a character that is rare in prose, a long run of ASCII, leaders or misread bytes."""
-    for c in set(text) - _COMMON:
-        if c.isascii() or not _fits(c):
-            return True
-    if max(map(len, tokens), default=0) > 30 or "....." in text or "·····" in text or "0x" in text:
-        return True
-    return not text.isascii() and _MISREAD.search(text) is not None
+def _strange(text: str, tokens: list[str]) -> tuple[set[str], bool]:
+    """Characters of a text that are rare in prose, and whether it has a long run, leaders or misread bytes.
+
+    A line without any of these can't be garbled.
+    """
+    odd = {c for c in set(text) - _COMMON if c.isascii() or not _fits(c)}
+    other = max(map(len, tokens), default=0) > 30 or "....." in text or "·····" in text or "0x" in text
+    return odd, other or not text.isascii() and _MISREAD.search(text) is not None
+
+
+def _found(text: str) -> list[str]:
+    """The words of a text in lower case: runs of letters."""
+    return text.lower().translate(_APART).split() if text.isascii() else WORD.findall(text.lower())
 
 
 def _is_misread(token: str) -> bool:
@@ -108,8 +113,6 @@ def _is_misread(token: str) -> bool:
 def _is_garbled(text: str) -> bool:
     """Whether a line has no readable words: symbols, wrongly decoded letters, encoded data. Scripts are all alike."""
     tokens = text.split()
-    if not _is_strange(text, tokens):
-        return False
     chars = sum(map(len, tokens))
     if sum(map(len, _LEADERS.findall(text))) > 0.4 * chars:
         return True
@@ -146,7 +149,7 @@ def _is_salad(text: str, common: Common) -> bool:
 
     Only scripts that have common words can be judged so.
     """
-    tokens = WORD.findall(text.lower())
+    tokens = _found(text)
     if len(tokens) < 25 or len(_PUNCTUATION.findall(text)) > len(tokens) / 30:
         return False
     letters = "".join(tokens)
@@ -215,8 +218,8 @@ def described(text: str, common: Common) -> dict:
     full = sum(line_counts.values())
     repeated = boilerplate = 0
     tokens = text.split()
-    found = WORD.findall(text.lower())
-    strange = _is_strange(text, tokens)
+    found = _found(text)
+    odd, other = _strange(text, tokens)
     prose: list[str] = []
     open_: list[str] = []  # successive lines of text without the end of a sentence
 
@@ -239,7 +242,7 @@ def described(text: str, common: Common) -> dict:
             if line_counts[s] >= REPEATS and len(s) > 3:
                 size["junk"] += len(line) + 1
                 repeated += len(line) + 1
-            elif strange and _is_garbled(s):
+            elif (other or not odd.isdisjoint(s)) and _is_garbled(s):
                 size["junk"] += len(line) + 1
             elif ". " in s or s[-1] == ":" or _ends(s):
                 close()
@@ -260,8 +263,13 @@ def described(text: str, common: Common) -> dict:
         top = max(grams, key=grams.__getitem__)
         times = grams[top]
     if times >= REPEATS and prose:
-        sentences = Counter(x for x in (_SENTENCES if text.isascii() else _WIDE_SENTENCES).split(" ".join(prose)) if len(x) > 20)
-        over = sum((len(x) + 1) * n for x, n in sentences.items() if n >= REPEATS)
+        joined = " ".join(prose)
+        if joined.isascii():
+            parts = joined.replace("? ", ". ").replace("! ", ". ").split(". ")
+        else:
+            parts = _SENTENCES.split(joined)
+        sentences = Counter(parts)
+        over = sum((len(x) + 2) * n for x, n in sentences.items() if n >= REPEATS and len(x) > 19)
         size["junk"] += over
         repeated += over
     chars = max(len(text), 1)
