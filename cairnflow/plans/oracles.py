@@ -50,6 +50,16 @@ _ARRIVED = f"""arr AS (
 placed AS (SELECT *, CAST(floor(sec / 86400) AS BIGINT) AS d FROM arr),
 judged AS (SELECT *, us <= (d + 1) * 86400000000 + 7200000000 AS pub, us <= (d + 1) * 86400000000 + 259200000000 AS opn FROM placed)"""
 
+_PASSED = f"""{_ARRIVED},
+asked AS (SELECT DISTINCT source, d FROM placed),
+bounds AS (SELECT source, d, (d + 1) * 86400000000 + 7200000000 AS pb, (d + 1) * 86400000000 + 259200000000 AS cb FROM asked),
+p1 AS (SELECT b.*, n.us AS pn FROM bounds b ASOF LEFT JOIN arr n ON b.source = n.source AND b.pb < n.us),
+p2 AS (SELECT b.*, l.us AS pl FROM p1 b ASOF LEFT JOIN arr l ON b.source = l.source AND b.pb >= l.us),
+p3 AS (SELECT b.*, n.us AS cn FROM p2 b ASOF LEFT JOIN arr n ON b.source = n.source AND b.cb < n.us),
+p4 AS (SELECT b.*, l.us AS cl FROM p3 b ASOF LEFT JOIN arr l ON b.source = l.source AND b.cb >= l.us),
+times AS (SELECT source, d, cb, least(coalesce(pn, greatest(pb, coalesce(pl + 21600000000, pb))), greatest(pb, coalesce(pl + 21600000000, pb))) AS published_us,
+  least(coalesce(cn, greatest(cb, coalesce(cl + 21600000000, cb))), greatest(cb, coalesce(cl + 21600000000, cb))) AS closed_us FROM p4)"""
+
 _HOURS = f"""readings AS (
   SELECT s.uuid, any_value(s.source) AS source, any_value(s.sample_type) AS sample_type, any_value(s.value_num) AS v,
          any_value(CAST(floor({_S.format('s.start_time')} / 3600) AS BIGINT)) AS h
@@ -74,6 +84,20 @@ SQL = {
     "p5_found": f"""WITH {_ARRIVED}, days AS (SELECT source, sample_type, d, count(*) FILTER (opn AND NOT pub) AS c, count(*) FILTER (NOT opn) AS x FROM judged GROUP BY ALL)
       SELECT source, sample_type, CAST(DATE '1970-01-01' + CAST(d AS INTEGER) AS VARCHAR) AS event_day, 'corrected' AS outcome FROM days WHERE c > 0
       UNION ALL SELECT source, sample_type, CAST(DATE '1970-01-01' + CAST(d AS INTEGER) AS VARCHAR), 'dropped' FROM days WHERE x > 0""",
+    "p5_totals": f"""WITH {_PASSED}
+      SELECT j.source, sample_type, j.d * 86400 AS period_start, count(*) FILTER (pub) AS n_published, count(*) FILTER (opn) AS n_closed, count(*) FILTER (opn AND NOT pub) AS n_corrected,
+        count(*) FILTER (NOT opn) AS n_dropped, round(sum(v) FILTER (pub), 6) AS sum_published, round(sum(v) FILTER (opn), 6) AS sum_closed, any_value(published_us) AS published_us, any_value(closed_us) AS closed_us
+      FROM judged j JOIN times t ON j.source = t.source AND j.d = t.d GROUP BY ALL""",
+    "p5_diverted": f"WITH {_ARRIVED} SELECT uuid, source, sample_type, d * 86400 AS period_start, us AS arrived_us FROM judged WHERE NOT opn",
+    "p5_joint": f"""WITH {_PASSED},
+      pairs AS (SELECT DISTINCT p.sample_type, p.d, m.source FROM placed p JOIN (SELECT DISTINCT sample_type, source FROM placed) m USING (sample_type)),
+      b AS (SELECT *, (d + 1) * 86400000000 + 259200000000 AS cb FROM pairs),
+      q1 AS (SELECT b.*, n.us AS cn FROM b ASOF LEFT JOIN arr n ON b.source = n.source AND b.cb < n.us),
+      q2 AS (SELECT q1.*, l.us AS cl FROM q1 ASOF LEFT JOIN arr l ON q1.source = l.source AND q1.cb >= l.us),
+      c AS (SELECT sample_type, d, max(least(coalesce(cn, greatest(cb, coalesce(cl + 21600000000, cb))), greatest(cb, coalesce(cl + 21600000000, cb)))) AS closed_us FROM q2 GROUP BY ALL)
+      SELECT p.sample_type, p.d * 86400 AS period_start, count(*) FILTER (NOT (us > (p.d + 1) * 86400000000 + 259200000000 AND us >= closed_us)) AS n_closed,
+        count(*) FILTER (us > (p.d + 1) * 86400000000 + 259200000000 AND us >= closed_us) AS n_dropped, any_value(closed_us) AS closed_us
+      FROM placed p JOIN c ON p.sample_type = c.sample_type AND p.d = c.d GROUP BY ALL""",
     "p7_found": f"""WITH {_HOURS} SELECT source, sample_type, hour_start_s FROM (
       SELECT source, sample_type, unnest(generate_series((h + 1) * 3600, (nh - 1) * 3600, 3600)) AS hour_start_s FROM ahead WHERE nh - h BETWEEN 2 AND 48)""",
     "scan_samples": "SELECT line_id, uuid, sample_type, start_time, end_time, value_num, value_text, unit_label AS unit, source, regexp_extract(start_time, '(Z|[+-]\\d\\d:\\d\\d)$', 1) AS start_offset, metadata ->> '$.timeZone' AS zone FROM samples",

@@ -11,7 +11,7 @@ from ..operators.arrivals import once
 from ..operators.changes import apply_changes, current_samples, element_changes
 from ..operators.grid import regular_grid
 from ..operators.intervals import gaps, periods
-from ..operators.late import period_outcomes
+from ..operators.late import Lateness, diverted, period_outcomes, period_sums
 from ..operators.rolling import trailing_totals
 from ..operators.stamps import normalised
 from ..sources.tables import filter_in, table, types_of_shape
@@ -74,14 +74,38 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_instants(spark, sf_dir).where("start_us is not null and end_us is not null").select("import_id", "start_us", "end_us")
 
 
-def p5_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Aggregates per source, type and UTC day as published, corrected and closed."""
+#: A day of a source is published and closed by that source alone.
+DAYS = Lateness(keys=("source", "sample_type"), source="source")
+
+
+def _arrived(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _samples(spark, sf_dir, "sampled", "daily", "accumulated")
     rows = rows.select(
         "uuid", "source", "sample_type", stamp_seconds("start_time").alias("at_s"), "value_num", micros(rows, "received_at").alias("arrived_us")
     )
-    rows = once(rows, "uuid", ["source", "sample_type", "at_s", "value_num"], "arrived_us")
-    return period_outcomes(rows, ["source", "sample_type"], "at_s", "arrived_us", "value_num")
+    return once(rows, "uuid", ["source", "sample_type", "at_s", "value_num"], "arrived_us")
+
+
+def p5_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aggregates per source, type and UTC day as published, corrected and closed."""
+    return period_outcomes(_arrived(spark, sf_dir), DAYS, "at_s", "arrived_us", "value_num")
+
+
+def p5_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outcomes with sums to six places, which don't depend on the order of adding."""
+    sums = [F.round(c, 6).alias(c) for c in ("sum_published", "sum_closed")]
+    return p5_outcomes(spark, sf_dir).select("source", "sample_type", "period_start", "n_published", "n_closed", "n_corrected", "n_dropped", *sums, "published_us", "closed_us")
+
+
+def p5_diverted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples that came after the closing of their day."""
+    return diverted(_arrived(spark, sf_dir), DAYS, "at_s", "arrived_us", "value_num", ("uuid",)).select("uuid", "source", "sample_type", "period_start", "arrived_us")
+
+
+def p5_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of a type that close when every source of the type has passed: corrected and dropped samples of each."""
+    joint = Lateness(keys=("sample_type",), source="source", scope=("sample_type",))
+    return period_outcomes(_arrived(spark, sf_dir), joint, "at_s", "arrived_us", "value_num").select("sample_type", "period_start", "n_closed", "n_dropped", "closed_us")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +114,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.when(F.col("n_corrected") > 0, F.lit("corrected")), F.when(F.col("n_dropped") > 0, F.lit("dropped")))
     )
     day = day_text(day_number(F.col("period_start"))).alias("event_day")
-    return p5_outcomes(spark, sf_dir).select("source", "sample_type", day, F.explode(kinds).alias("outcome"))
+    sums = period_sums(_arrived(spark, sf_dir), DAYS, "at_s", "arrived_us", "value_num")
+    return sums.select("source", "sample_type", day, F.explode(kinds).alias("outcome"))
 
 
 def p6_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,5 +145,5 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found, "p1_totals": p1_totals, "p2_found": p2_found, "p2_state": p2_state, "p3_found": p3_found,
     "p3_periods": p3_periods, "p4_found": p4_found, "p4_instants": p4_instants, "p5_found": p5_found,
-    "p5_outcomes": p5_outcomes, "p6_found": p6_found, "p6_verdicts": p6_verdicts, "p7_found": p7_found, "p7_grid": p7_grid,
+    "p5_outcomes": p5_outcomes, "p5_totals": p5_totals, "p5_diverted": p5_diverted, "p5_joint": p5_joint, "p6_found": p6_found, "p6_verdicts": p6_verdicts, "p7_found": p7_found, "p7_grid": p7_grid,
 }

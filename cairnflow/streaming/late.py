@@ -2,71 +2,73 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.utils import AnalysisException
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from ..operators import late
+from ..operators.late import TOTALS, Lateness
 
-OUT = "source string, sample_type string, period_start bigint, outcome string, n bigint, total double, watermark_us bigint"
-STATE = "watermark bigint, periods array<struct<period: bigint, published: boolean, n: bigint, total: double>>"
-US = 1_000_000
 
+class Ledger:
+    """What a stream of records (the keys, at_s, arrived_us, value) has brought so far, kept as tables of a folder.
 
-def closing(rows: DataFrame, period_s: int = 86400, publish_s: int = 7200, close_s: int = 259200, idle_s: int = 3600) -> DataFrame:
-    """Outcomes of a stream of samples (source, sample_type, at_s, arrived_us, value): published, corrected, closed, dropped.
-
-    Each source and type keeps a low watermark, the receiver's clock as of its latest arrival, and the sums of its open
-    periods. Arrivals are taken in order; the watermark passes a period's publication and closing before later arrivals
-    are counted, and a sample of a closed period is diverted as dropped. A source that stays idle for ``idle_s`` is
-    advanced by the trigger's clock, so its periods close without it. State holds open periods only. A published period
-    gives its sums again (corrected) after each micro-batch that changes them.
+    Micro-batches come in order of arrival. Each one moves the watermarks of its sources, judges its own late records
+    against the punctuations so far and adds its sums; the functions are those of ``operators.late``, so any cut into
+    micro-batches gives what the whole table gives. The clock is that of the arrivals: a replay of old records closes
+    nothing early. Each batch has parts under its number, overwritten if it is replayed; a new checkpoint starts with an
+    empty folder. What is read per batch is bounded by the calendar: the watermarks and the pairs of scope and source.
     """
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        mark, periods = 0, {}
-        if state.exists:
-            mark, kept = state.get
-            periods = {p["period"]: [p["published"], p["n"], p["total"]] for p in (r.asDict() if hasattr(r, "asDict") else r for r in kept)}
-        out: list[tuple] = []
+    def __init__(self, spark: SparkSession, folder: str, rule: Lateness, at: str = "at_s", arrived: str = "arrived_us", value: str = "value") -> None:
+        self.spark, self.folder, self.rule = spark, folder.rstrip("/"), rule
+        self.columns = (at, arrived, value)
+
+    def _read(self, name: str, like: DataFrame) -> DataFrame:
+        try:
+            return self.spark.read.schema(like.schema).parquet(f"{self.folder}/{name}")
+        except AnalysisException:  # not written yet
+            return like.limit(0)
+
+    def _write(self, df: DataFrame, name: str, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.folder}/{name}/part={batch_id}")
+
+    def add(self, records: DataFrame, batch_id: int) -> None:
+        """One micro-batch."""
+        rule = self.rule
+        rows = late.placed(records, rule, *self.columns).persist()
+        try:
+            own = late.marked(rows, rule)
+            earlier = self._read(f"marks/part={batch_id - 1}", own) if batch_id else own.limit(0)
+            self._write(late.merged(earlier, own, rule), "marks", batch_id)
+            marks = self._read(f"marks/part={batch_id}", own)
+            periods, members = late.of_scopes(rows, rule)
+            before = self._read(f"members/part={batch_id - 1}", members) if batch_id else members.limit(0)
+            self._write(before.unionByName(members).distinct(), "members", batch_id)
+            asked = late.asked_for(periods, self._read(f"members/part={batch_id}", members), rule)
+            judged = late.judged(late.after_publication(rows, rule), late.punctuated(marks, asked, rule), rule)
+            self._write(late.summed(rows, judged, rule), "sums", batch_id)
+            self._write(judged.where("_dropped"), "diverted", batch_id)
+            self._write(periods, "periods", batch_id)
+            self.last = batch_id
+        finally:
+            rows.unpersist()
 
-        def advance(to: int) -> None:
-            nonlocal mark
-            mark = max(mark, to)
-            for period in sorted(periods):
-                end = (period + 1) * period_s * US
-                seen = periods[period]
-                if not seen[0] and mark > end + publish_s * US:
-                    seen[0] = True
-                    out.append((period, "published", seen[1], seen[2]))
-                if mark > end + close_s * US:
-                    out.append((period, "closed", seen[1], seen[2]))
-                    del periods[period]
+    def outcomes(self) -> DataFrame:
+        """The aggregates so far, as of ``operators.late.period_outcomes``."""
+        rule, read = self.rule, self.spark.read.parquet
+        sums = read(f"{self.folder}/sums").groupBy(*rule.keys, "_period").agg(*[F.sum(c).alias(c) for c in TOTALS])
+        marks = read(f"{self.folder}/marks/part={self.last}")
+        periods = read(f"{self.folder}/periods").select(*rule.within, "_period").distinct()
+        asked = late.asked_for(periods, read(f"{self.folder}/members/part={self.last}"), rule)
+        return late.finished(sums, late.punctuated(marks, asked, rule), rule)
 
-        if state.hasTimedOut:
-            advance(max(mark, state.getCurrentProcessingTimeMs() * 1000))
-        changed = set()
-        rows = [r for f in frames for r in f[["at_s", "arrived_us", "value"]].itertuples(index=False) if not pd.isna(r.at_s)]
-        for r in sorted(rows, key=lambda r: r.arrived_us):
-            advance(int(r.arrived_us))
-            period = int(r.at_s // period_s)
-            value = 0.0 if pd.isna(r.value) else float(r.value)
-            end = (period + 1) * period_s * US
-            if mark > end + close_s * US:
-                out.append((period, "dropped", 1, value))
-                continue
-            seen = periods.setdefault(period, [mark > end + publish_s * US, 0, 0.0])
-            seen[1] += 1
-            seen[2] += value
-            if seen[0]:
-                changed.add(period)
-        out += [(p, "corrected", periods[p][1], periods[p][2]) for p in sorted(changed) if p in periods]
-        state.update((mark, [{"period": p, "published": s[0], "n": s[1], "total": s[2]} for p, s in periods.items()]))
-        state.setTimeoutDuration(idle_s * 1000)
-        yield pd.DataFrame(
-            [(*key, p * period_s, o, n, t, mark) for p, o, n, t in out],
-            columns=["source", "sample_type", "period_start", "outcome", "n", "total", "watermark_us"],
-        )
+    def diverted(self) -> DataFrame:
+        """The records that came after their period's closing."""
+        return self.spark.read.parquet(f"{self.folder}/diverted").drop("_dropped", "_corrects", "part")
 
-    grouped = rows.select("source", "sample_type", "at_s", "arrived_us", "value").groupBy("source", "sample_type")
-    return grouped.applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    def start(self, records: DataFrame, checkpoint: str) -> StreamingQuery:
+        """Adds what the stream brings until it has no more."""
+        writer = records.writeStream.foreachBatch(self.add).option("checkpointLocation", checkpoint)
+        return writer.trigger(availableNow=True).start()

@@ -18,11 +18,12 @@ from cairnflow.operators.arrivals import once
 from cairnflow.operators.changes import apply_changes, current_samples, element_changes
 from cairnflow.operators.grid import regular_grid
 from cairnflow.operators.intervals import gaps, periods
-from cairnflow.operators.late import period_outcomes
+from cairnflow.operators.late import Lateness, diverted, period_outcomes
 from cairnflow.operators.overlap import within
 from cairnflow.operators.ranks import spread_rank
 from cairnflow.operators.rolling import trailing_totals
 from cairnflow.operators.stamps import normalised
+from cairnflow.streaming.late import Ledger
 from tests.stamps_by_hand import read, zone_of
 
 
@@ -120,10 +121,81 @@ def test_period_outcomes(spark):
     end, us = 86400, 10**6
     data = [("s", 1, (end + 7200) * us, 1.0), ("s", 2, (end + 7200) * us + 1, 2.0), ("s", 3, (end + 259200) * us, None), ("s", 4, (end + 259200) * us + 1, 4.0), ("s", 5, None, 8.0), ("s", None, 1, 1.0), (None, -1, 0, 1.0)]
     df = spark.createDataFrame(data, "source string, at bigint, us bigint, v double")
-    got = {r.source: r for r in period_outcomes(df, ["source"], "at", "us", "v").collect()}
+    rule = Lateness(("source",), "source")
+    got = {r.source: r for r in period_outcomes(df, rule, "at", "us", "v").collect()}
     r = got["s"]
     assert (r.n_published, r.n_corrected, r.n_dropped, r.n_closed, r.sum_published, r.sum_closed) == (2, 2, 1, 4, 9.0, 11.0)
-    assert got[None].period_start == -86400
+    assert (r.published_us, r.closed_us) == ((end + 7200) * us + 1, (end + 259200) * us + 1)
+    assert got[None].period_start == -86400 and got[None].n_dropped == 0
+    assert [r.v for r in diverted(df, rule, "at", "us", "v", ("source",)).collect()] == [4.0]
+    assert period_outcomes(df.where("false"), rule, "at", "us", "v").count() == 0
+
+
+def late_by_hand(data, scope_of, publish, close, idle, period):
+    """Every record judged by a walk over all arrivals: (scope, period) -> [published, corrected, dropped]."""
+    heard = {}
+    for g, _, a, _ in data:
+        if a is not None:
+            heard.setdefault(g, []).append(a)
+    out = {}
+    for g, at, a, kind in data:
+        sources = {x[0] for x in data if scope_of(x) == scope_of((g, at, a, kind))}
+        k = at // period
+
+        def passed(after, a=a, k=k, sources=sources):
+            bound = ((k + 1) * period + after) * 10**6
+            if a is None or a <= bound:
+                return False
+            when = []
+            for s in sources:
+                next_ = [x for x in heard.get(s, []) if x > bound]
+                last = [x for x in heard.get(s, []) if x <= bound]
+                silent = max(bound, max(last) + idle * 10**6) if last else bound
+                when.append(min([silent, *([min(next_)] if next_ else [])]))
+            return a >= max(when)
+
+        row = out.setdefault((scope_of((g, at, a, kind)), k), [0, 0, 0])
+        row[2 if passed(close) else 1 if passed(publish) else 0] += 1
+    return out
+
+
+@pytest.mark.parametrize("scope", [("source",), ("kind",), ()])
+def test_closing_by_every_source(spark, tmp_path, scope):
+    rnd = random.Random(len(scope) + 5)
+    data = []
+    for i in range(400):
+        g, kind, at = rnd.choice("abcde"), rnd.choice("xy"), rnd.randint(0, 900)
+        a = None if rnd.random() < 0.03 else at * 10**6 + int(rnd.expovariate(1 / (150 if g != "e" else 900)) * 10**6)
+        data.append((g, at, a, kind))
+    keys = {("source",): ("source",), ("kind",): ("kind",), (): ("kind",)}[scope]
+    rule = Lateness(keys, "source", scope, period_s=100, publish_s=20, close_s=200, idle_s=60)
+    schema = "source string, at_s bigint, arrived_us bigint, kind string"
+    df = spark.createDataFrame(data, schema).withColumn("value", F.lit(1.0))
+    scope_of = {("source",): lambda x: x[0], ("kind",): lambda x: x[3], (): lambda x: None}[scope]
+    want = {}
+    for (_, k), n in late_by_hand(data, scope_of, 20, 200, 60, 100).items() if keys == scope else ():
+        want[_, k] = n
+    result = period_outcomes(df, rule, "at_s", "arrived_us", "value").collect()
+    if keys == scope:
+        assert {(r[0], r.period_start // 100): [r.n_published, r.n_corrected, r.n_dropped] for r in result} == want
+    else:
+        whole = late_by_hand(data, scope_of, 20, 200, 60, 100)
+        by = {}
+        for r in result:
+            own = by.setdefault((None, r.period_start // 100), [0, 0, 0])
+            for i, n in enumerate((r.n_published, r.n_corrected, r.n_dropped)):
+                own[i] += n
+        assert by == whole
+    # the same in micro-batches in order of arrival
+    ledger = Ledger(spark, str(tmp_path / "ledger"), rule)
+    ordered = sorted(data, key=lambda x: -1 if x[2] is None else x[2])
+    for n, part in enumerate((ordered[:150], ordered[150:151], ordered[151:])):
+        records = spark.createDataFrame(part, schema).withColumn("value", F.lit(1.0))
+        ledger.add(records, n)
+        if n == 1:
+            ledger.add(records, n)  # a replay
+    assert rows(ledger.outcomes()) == sorted(tuple(r) for r in result)
+    assert ledger.diverted().count() == sum(r.n_dropped for r in result)
 
 
 def series(n=400, seed=3):
