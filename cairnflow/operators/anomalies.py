@@ -6,32 +6,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.staging import staged
 from .chunks import chunked
 
-#: What no living body or real room gives, as (lowest, highest) that is still possible, by type and unit.
-POSSIBLE = {
-    "heartRate": (10.0, 300.0),
-    "respiratoryRate": (0.5, 100.0),
-    "oxygenSaturation": (40.0, 100.0),
-    "heartRateVariabilitySDNN": (0.1, 600.0),
-    "environmentalAudioExposure": (0.0, 194.0),
-    "bodyMass": (1.0, 650.0),
-}
-
 SPIKE = 3  # readings of a spike at most
 STUCK = 10  # equal successive readings that are stuck
 SIDE = 4  # readings on either side that a spike is compared with
 HALO = 64
-CONTEXT_H = 6  # hours of a context
+BLOCK_H = 6  # hours whose sketches are merged where an hour of day has few readings
 FENCE = 7.0  # interquartile ranges beyond the quartiles
 LEAST = 0.004  # interquartile range at least, as a share of the level
 CALMEST = 0.8  # least interquartile range of a context, as a share of that of all hours
 STEEP = 3.0  # times the steps of its calmer side that a spike must jump
-FEW = 48  # readings that a context needs for its own quartiles
+#: Fences of at most so many series and hours are sent to all tasks; more are joined by a shuffle.
+SMALL_MAP = 200_000
+FEW = 48  # readings that a context needs for quartiles of its own
 
 
 def _shifted(v: np.ndarray, group: np.ndarray, offsets: list[int]) -> np.ndarray:
@@ -54,7 +47,8 @@ def _median(block: np.ndarray) -> np.ndarray:
 def features(group: np.ndarray, v: np.ndarray, possible: np.ndarray) -> dict[str, np.ndarray]:
     """Of readings in order of group and time: ``level``, ``jump`` (by which it leaves and returns as part of a spike) and ``stuck``.
 
-    Level and jump are those among possible readings, NaN and 0 for others.
+    Level and jump are those among possible readings; an impossible one has the level of the possible one before it, or
+    else after it, and the distance to it as jump.
     """
     n = len(v)
     level, jump = np.full(n, np.nan), np.zeros(n)
@@ -81,6 +75,13 @@ def features(group: np.ndarray, v: np.ndarray, possible: np.ndarray) -> dict[str
                     )
                     best = np.fmax(best, np.where(size > STEEP * calm, size, 0))
         jump[keep] = best
+        odd = np.flatnonzero(~possible)
+        place = np.searchsorted(keep, odd)
+        for near in (np.minimum(place, len(keep) - 1), np.maximum(place - 1, 0)):  # the one before counts, if there is one
+            same = group[keep[near]] == group[odd]
+            level[odd[same]] = level[keep[near[same]]]
+        with np.errstate(invalid="ignore"):
+            jump[odd] = np.nan_to_num(np.abs(v[odd] - level[odd]), nan=0.0, posinf=np.inf)
     begins = np.ones(n, bool)
     begins[1:] = (v[1:] != v[:-1]) | (group[1:] != group[:-1])
     runs = np.cumsum(begins) - 1
@@ -92,19 +93,24 @@ def _walk(limits: dict[str, tuple[float, float]]):
     """A function over Arrow batches sorted by series, chunk and time. It holds one chunk beyond a batch at most."""
 
     def of(table: pa.Table) -> pa.RecordBatch:
-        data = table.to_pydict() if False else table
-        keys = ["_source", "_type", "_chunk"]
-        codes = []
-        for k in keys:
-            c = data[k].combine_chunks()
-            codes.append(c.to_numpy(zero_copy_only=False) if k == "_chunk" else c.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False))
-        edge = np.ones(len(table), bool)
-        edge[1:] = np.any([c[1:] != c[:-1] for c in codes], axis=0)
-        group = np.cumsum(edge)
+        def edges(data: pa.Table) -> np.ndarray:
+            codes = [data["_chunk"].to_numpy()]
+            for k in ("_source", "_type"):
+                codes.append(data[k].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False))
+            edge = np.ones(len(data), bool)
+            edge[1:] = np.any([c[1:] != c[:-1] for c in codes], axis=0)
+            return edge
+
+        ids, at, values = table["_id"].combine_chunks(), table["_at"].to_numpy(), table["_value"].to_numpy()
+        fresh = edges(table)
+        fresh[1:] |= (at[1:] != at[:-1]) | (values[1:] != values[:-1])
+        fresh[1:] |= ~pc.fill_null(pc.equal(ids[1:], ids[:-1]), False).to_numpy(zero_copy_only=False)
+        data = table if fresh.all() else table.filter(pa.array(fresh)).combine_chunks()  # repeated deliveries are neighbours
+        group = np.cumsum(edges(data))
         v = data["_value"].to_numpy()
         kinds = data["_type"].combine_chunks().dictionary_encode()
         names = [*kinds.dictionary.to_pylist(), None]
-        bounds = np.array([limits.get(x, (-np.inf, np.inf)) for x in names])
+        bounds = np.array([limits.get(x, (-np.finfo(float).max, np.finfo(float).max)) for x in names])
         index = kinds.indices.fill_null(len(names) - 1).to_numpy(zero_copy_only=False)
         possible = (v >= bounds[index, 0]) & (v <= bounds[index, 1])
         got = features(group, v, possible)
@@ -157,22 +163,28 @@ def judged(
     value: str,
     limits: dict[str, tuple[float, float]] | None = None,
     fence: float = FENCE,
+    screened: bool = False,
 ) -> DataFrame:
-    """Every reading with ``verdict``: impossible, spike, stuck or credible. Columns: id, source, type, value, verdict.
+    """Every reading with its flags and a ``verdict``: impossible, spike, stuck or credible. Columns: id, source, type, value,
+    ``beyond_limit``, ``outside_fence``, ``steep``, ``flat`` and verdict.
 
-    ``at`` is in integer seconds; ``df`` holds each reading once. Null and NaN values and null times are no readings and
-    are left out; infinite values are impossible where the type has limits. A null source or type makes a series of its
-    own. Ties of time are ordered by id. Extra columns are ignored; an empty table gives an empty result.
+    ``at`` is in integer seconds. The same id, time and value again is the same reading. Null and NaN values and null times
+    are no readings and are left out; infinite values are beyond any limit. ``limits`` gives (lowest, highest) possible
+    values by type; types that it lacks have none. A null source or type makes a series of its own. Ties of time are
+    ordered by id. Extra columns are ignored; an empty table gives an empty result.
 
     Method: readings of a source and type in order of time give the level (median of nine) and the residual to it, and
     for every run of at most three readings the jump by which it leaves the readings before and comes back to those
-    after. Quantile sketches of the residuals are built on each partition by source, type and hour context and merged.
-    A spike lies outside the fences (``fence`` interquartile ranges beyond the quartiles), and its jump exceeds them too
-    and is more than three times the steps on its calmer side, which is the implausible rate of change: climbs and falls
-    come in steps of like size, lasting changes don't return. Ten or more equal readings have no variance: stuck.
-    Contexts with few readings use the sketch merged over all hours of the source.
-
-    Long series are cut into chunks with neighbouring rows (see ``chunked``), so no task holds an unbounded series.
+    after. Quantile sketches of the residuals are built on each partition by source, type and hour of the day and merged;
+    hours with few readings use the sketches merged over six hours, or over all. ``outside_fence``: the residual lies
+    ``fence`` interquartile ranges beyond the quartiles. ``steep``: the jump exceeds as much and is more than three times the
+    steps on its calmer side, an implausible rate of change; climbs and falls come in steps of like size, lasting changes
+    don't return. ``flat``: one of ten or more equal readings, without variance. A spike is outside and steep at once, as a
+    climb is only outside; impossible and stuck readings take no part in the sketches. With ``screened``, readings that
+    don't jump at all aren't held against the fences, which leaves the verdicts as they are.
+
+    Long series are cut into chunks with neighbouring rows (see ``chunked``), so no task holds an unbounded series. The
+    table is scanned for the sizes of series (three columns) and for the readings, which are shuffled once.
     """
     rows = df.select(
         F.col(id_col).alias("_id"),
@@ -182,40 +194,56 @@ def judged(
         F.col(value).cast("double").alias("_value"),
     ).where("_at is not null and _value is not null and not isnan(_value)")
     rows = chunked(rows, ["_source", "_type"], "_at", HALO)
-    rows = rows.withColumn("_context", F.floor(F.pmod(F.col("_at"), F.lit(86400)) / F.lit(3600 * CONTEXT_H)).cast("int"))
-    ordered = rows.repartition("_source", "_type", "_chunk").sortWithinPartitions("_source", "_type", "_chunk", "_at", "_id")
+    rows = rows.withColumn("_context", F.floor(F.pmod(F.col("_at"), F.lit(86400)) / F.lit(3600)).cast("int"))
+    ordered = rows.repartition("_source", "_type", "_chunk").sortWithinPartitions("_source", "_type", "_chunk", "_at", "_id", "_value")
     schema = (
         "_id string, _source string, _type string, _context int, _value double, _level double, _jump double, "
         "_possible boolean, _stuck boolean"
     )
-    seen = staged(ordered.mapInArrow(_walk(limits if limits is not None else POSSIBLE), schema))
+    seen = staged(ordered.mapInArrow(_walk(limits or {}), schema))
 
     residual = F.col("_value") - F.col("_level")
     normal = seen.where("_possible and not _stuck").withColumn("_residual", residual).where("_residual between -1e300 and 1e300")
-    parts = normal.groupBy("_source", "_type", "_context").agg(F.kll_sketch_agg_double("_residual").alias("_sketch"))
-    whole = parts.groupBy("_source", "_type").agg(F.kll_merge_agg_double("_sketch").alias("_all"))
-
-    def quartile(sketch: str, rank: float) -> F.Column:
-        return F.kll_sketch_get_quantile_double(sketch, F.lit(rank))
-
-    own = parts.select("_source", "_type", "_context", quartile("_sketch", 0.25).alias("_q1"), quartile("_sketch", 0.75).alias("_q3"), F.kll_sketch_get_n_double("_sketch").alias("_n"))
-    alls = whole.select(F.col("_source").alias("_s"), F.col("_type").alias("_t"), quartile("_all", 0.25).alias("_a1"), quartile("_all", 0.75).alias("_a3"))
-    both = own.join(alls, F.col("_source").eqNullSafe(F.col("_s")) & F.col("_type").eqNullSafe(F.col("_t")))
-    enough = F.col("_n") >= FEW
-    fences = both.select(
-        F.col("_s"), F.col("_t"), F.col("_context").alias("_c"),
-        F.when(enough, F.col("_q1")).otherwise(F.col("_a1")).alias("_low"),
-        F.when(enough, F.col("_q3")).otherwise(F.col("_a3")).alias("_high"),
-        (F.col("_a3") - F.col("_a1")).alias("_usual"),
+    block = F.floor(F.col("_context") / F.lit(BLOCK_H)).alias("_block")
+    series = ("_source", "_type")
+    parts = normal.groupBy(*series, "_context").agg(F.kll_sketch_agg_double("_residual").alias("_sketch"))
+    blocks = parts.groupBy(*series, block).agg(F.kll_merge_agg_double("_sketch").alias("_sketch"))
+    whole = blocks.groupBy(*series).agg(F.kll_merge_agg_double("_sketch").alias("_sketch"))
+
+    def quartiles(df: DataFrame, n: str, *keys: str) -> DataFrame:
+        at_rank = [F.kll_sketch_get_quantile_double("_sketch", F.lit(r)).alias(f"_{n}{q}") for q, r in ((1, 0.25), (3, 0.75))]
+        return df.select(*[F.col(k).alias(f"_{n}{k}") for k in keys], *at_rank, F.kll_sketch_get_n_double("_sketch").alias(f"_{n}n"))
+
+    def same(n: str) -> Column:
+        return F.col("_h_source").eqNullSafe(F.col(f"_{n}_source")) & F.col("_h_type").eqNullSafe(F.col(f"_{n}_type"))
+
+    joined = quartiles(parts, "h", *series, "_context").join(quartiles(whole, "a", *series), same("a"))
+    joined = joined.join(quartiles(blocks, "b", *series, "_block"), same("b") & (F.floor(F.col("_h_context") / F.lit(BLOCK_H)) == F.col("_b_block")))
+
+    def chosen(q: int) -> Column:
+        return F.when(F.col("_hn") >= FEW, F.col(f"_h{q}")).when(F.col("_bn") >= FEW, F.col(f"_b{q}")).otherwise(F.col(f"_a{q}"))
+
+    fences = joined.select(
+        F.col("_h_source").alias("_s"), F.col("_h_type").alias("_t"), F.col("_h_context").alias("_c"),
+        chosen(1).alias("_low"), chosen(3).alias("_high"), (F.col("_a3") - F.col("_a1")).alias("_usual"),
     )
 
-    # only readings with a jump can be spikes; all others are settled without the fences
-    jumpy = seen.where("_possible and not _stuck and _jump > 0")
-    same = F.col("_source").eqNullSafe(F.col("_s")) & F.col("_type").eqNullSafe(F.col("_t")) & (F.col("_context") == F.col("_c"))
-    spread = F.greatest(F.col("_high") - F.col("_low"), F.col("_usual") * CALMEST, F.abs("_level") * LEAST)
-    outside = (residual < F.col("_low") - fence * spread) | (residual > F.col("_high") + fence * spread)
-    spiky = F.when(outside & (F.col("_jump") > fence * spread), "spike").otherwise("credible")
     names = [F.col("_id").alias(id_col), F.col("_source").alias(source), F.col("_type").alias(type_col), F.col("_value").alias(value)]
-    plain = F.when(~F.col("_possible"), "impossible").when(F.col("_stuck"), "stuck").otherwise("credible")
-    settled = seen.where("not _possible or _stuck or _jump <= 0").select(*names, plain.alias("verdict"))
-    return settled.unionByName(jumpy.join(fences, same, "left").select(*names, spiky.alias("verdict")))
+    on = F.col("_source").eqNullSafe(F.col("_s")) & F.col("_type").eqNullSafe(F.col("_t")) & (F.col("_context") == F.col("_c"))
+    spread = F.greatest(F.col("_high") - F.col("_low"), F.col("_usual") * CALMEST, F.abs("_level") * LEAST)
+    outside = F.coalesce((residual < F.col("_low") - fence * spread) | (residual > F.col("_high") + fence * spread), F.lit(False))
+    steep = F.coalesce(F.col("_jump") > fence * spread, F.lit(False))
+    no = F.lit(False)
+
+    def told(df: DataFrame, outside: Column, steep: Column) -> DataFrame:
+        verdict = F.when(~F.col("_possible"), "impossible").when(F.col("_stuck"), "stuck").when(outside & steep, "spike").otherwise("credible")
+        flags = [(~F.col("_possible")).alias("beyond_limit"), outside.alias("outside_fence"), steep.alias("steep"), F.col("_stuck").alias("flat")]
+        return df.select(*names, *flags, verdict.alias("verdict"))
+
+    fences = staged(fences)  # a row per series and hour of day
+    if fences.count() <= SMALL_MAP:
+        fences = F.broadcast(fences)
+    if not screened:
+        return told(seen.join(fences, on, "left"), outside, steep)
+    jumpy = seen.where("_jump > 0").join(fences, on, "left")
+    return told(seen.where("_jump <= 0"), no, no).unionByName(told(jumpy, outside, steep))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
 from ..sources.tables import bounded_rows
 
 #: Rows of a series that one chunk holds at most, but for a single stretch with more.
@@ -23,22 +24,19 @@ def chunked(
     ``at`` is in integer seconds. Series of at most ``target`` rows are one chunk. A longer one is cut at stretches of
     time such that chunks have about ``target`` rows; each chunk also gets copies of the stretches before and after
     until these hold at least ``halo`` rows, so every row of the core has its ``halo`` nearest rows on either side.
-    Sizes come from counts; no series is gathered in one task. A null series column makes a series of its own.
+    Sizes come from one pass of counts, which are written; no series is gathered in one task. A null series column makes a
+    series of its own.
     """
     spark = df.sparkSession
-    keys = [F.col(c) for c in series]
-    large = df.groupBy(*series).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > target).select(*series)
-    some = bounded_rows(large, SMALL_MAP)
-    if some == []:
+    cut = df.withColumn("_cut", F.floor(F.col(at) / F.lit(stretch)))
+    counts = staged(cut.groupBy(*series, "_cut").agg(F.count(F.lit(1)).alias("_n")))
+    large = counts.groupBy(*series).agg(F.sum("_n").alias("_all")).where(F.col("_all") > target)
+    if large.isEmpty():
         return df.withColumns({"_chunk": F.lit(0).cast("bigint"), "_core": F.lit(True)})
-    if some is not None:
-        large = F.broadcast(spark.createDataFrame(some, large.schema))
     names = [f"_k{i}" for i in range(len(series))]
-    big = large.select(*[k.alias(n) for k, n in zip(keys, names, strict=True)])
+    big = large.select(*[F.col(c).alias(n) for c, n in zip(series, names, strict=True)])
     same = [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(series, names, strict=True)]
-
-    cut = df.withColumn("_cut", F.floor(F.col(at) / F.lit(stretch)))
-    counts = cut.join(big, same, "left_semi").groupBy(*series, "_cut").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.join(big, same, "left_semi")
     order = Window.partitionBy(*series).orderBy("_cut")
     upto = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     placed = counts.select(*series, "_cut", "_n", upto.alias("_end")).withColumn("_begin", F.col("_end") - F.col("_n"))

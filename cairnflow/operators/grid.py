@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+
 
 def regular_grid(
     df: DataFrame, series: list[str], at: str, value: str, step: int = 3600, max_gap: int = 48, carry: int = 3
@@ -30,6 +32,7 @@ def regular_grid(
         number.alias("_value"),
     )
     steps = rows.groupBy(*keys, "_step").agg(F.count(F.lit(1)).alias("n"), F.avg("_value").alias("mean"))
+    steps = staged(steps)  # read for the sequence and for the join
 
     by_step = Window.partitionBy(*keys).orderBy("_step")
     ahead = steps.select(*keys, "_step", F.lead("_step").over(by_step).alias("_next"))

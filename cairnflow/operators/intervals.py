@@ -9,19 +9,24 @@ from .ranks import spread_rank
 
 #: Stretch of time, in seconds, whose boundaries of one entity are sorted in one task.
 STRETCH_S = 86400
+#: Periods of one entity that are ranked in one task.
+PERIODS = 100_000
 
 
-def _valid(df: DataFrame, entity: str, start: str, end: str) -> DataFrame:
-    cols = F.col(entity).alias("_entity"), F.col(start).alias("_start"), F.col(end).alias("_end")
-    return df.select(*cols).where("_start < _end").distinct()
+def _paired(df: DataFrame, entity: str, start: str, end: str, stretch: int) -> DataFrame:
+    """For each entity and rank r from 0: ``_end`` of rank r and ``_start`` of rank r + 1, null where there is none.
 
-
-def _boundaries(df: DataFrame, entity: str, start: str, end: str, stretch: int) -> tuple[DataFrame, DataFrame]:
-    """Ranked starts and ends."""
-    rows = _valid(df, entity, start, end)
-    starts = spread_rank(rows.select("_entity", "_start"), ["_entity"], "_start", stretch, "_rank")
-    ends = spread_rank(rows.select("_entity", "_end"), ["_entity"], "_end", stretch, "_rank")
-    return starts, ends
+    The table is read once: its intervals become boundaries, starts and ends are ranked independently by the same pass,
+    and the pairs meet by their rank in an aggregate.
+    """
+    cols = F.col(entity).alias("_entity"), F.col(start).cast("bigint").alias("_start"), F.col(end).cast("bigint").alias("_end")
+    sides = F.array(F.struct(F.lit(0).alias("kind"), F.col("_start").alias("at")), F.struct(F.lit(1).alias("kind"), F.col("_end").alias("at")))
+    flat = df.select(*cols).where("_start < _end").select("_entity", F.explode(sides).alias("_side"))
+    flat = flat.select("_entity", F.col("_side.kind").alias("_kind"), F.col("_side.at").alias("_at"))
+    ranked = spread_rank(flat, ["_entity", "_kind"], "_at", stretch, "_rank")
+    rank = (F.col("_rank") - 1 + F.col("_kind")).alias("_r")
+    sides = ranked.select("_entity", rank, F.when(F.col("_kind") == 1, F.col("_at")).alias("_end"), F.when(F.col("_kind") == 0, F.col("_at")).alias("_start"))
+    return sides.groupBy("_entity", "_r").agg(F.max("_end").alias("_end"), F.max("_start").alias("_start"))
 
 
 def gaps(df: DataFrame, entity: str, start: str, end: str, stretch: int = STRETCH_S) -> DataFrame:
@@ -29,17 +34,14 @@ def gaps(df: DataFrame, entity: str, start: str, end: str, stretch: int = STRETC
 
     ``start`` and ``end`` are integers, an interval holds [start, end). Method: starts and ends are sorted independently
     and ranked; where the start of rank r + 1 exceeds the end of rank r, all r intervals begun so far have ended, and
-    the two are the sides of a gap. Both sorts are spread over stretches of time, so an entity with a third of all rows
-    occupies many tasks, and the pairing is an equi-join on entity and rank.
+    the two are the sides of a gap. The sort is spread over stretches of time, so an entity with a third of all rows
+    occupies many tasks, and pairs meet on entity and rank.
 
     Only intervals that end after their start count: empty and reversed ones, and those with a null bound, are left out.
-    Intervals that touch leave no gap. A null entity is one of its own. Equal intervals count once. Other columns are
+    Intervals that touch leave no gap. A null entity is one of its own. Equal intervals change nothing. Other columns are
     ignored; an empty table gives no gaps.
     """
-    starts, ends = _boundaries(df, entity, start, end, stretch)
-    follow = starts.select(F.col("_entity").alias("_e2"), "_start", (F.col("_rank") - 1).alias("_r2"))
-    pairs = ends.join(follow, F.col("_entity").eqNullSafe(F.col("_e2")) & (F.col("_rank") == F.col("_r2")))
-    return pairs.where("_start > _end").select(
+    return _paired(df, entity, start, end, stretch).where("_start > _end").select(
         F.col("_entity").alias(entity), F.col("_end").alias("gap_start"), F.col("_start").alias("gap_end")
     )
 
@@ -47,17 +49,12 @@ def gaps(df: DataFrame, entity: str, start: str, end: str, stretch: int = STRETC
 def periods(df: DataFrame, entity: str, start: str, end: str, stretch: int = STRETCH_S) -> DataFrame:
     """Continuous periods of each entity: entity, period_start, period_end. Cases as in ``gaps``.
 
-    The k-th start that opens a period (it exceeds the end of the rank before) and the k-th end that closes one (the
-    start of the next rank exceeds it) are a period's sides.
+    Pairs between which there is a gap, and those at either end, are the places where one period ends and the next begins;
+    in order of rank, the start at one place and the end at the next are a period's sides.
     """
-    starts, ends = _boundaries(df, entity, start, end, stretch)
-    prior = ends.select(F.col("_entity").alias("_e2"), F.col("_end").alias("_prior"), (F.col("_rank") + 1).alias("_r2"))
-    opens = starts.join(prior, F.col("_entity").eqNullSafe(F.col("_e2")) & (F.col("_rank") == F.col("_r2")), "left")
-    opens = opens.where("_prior is null or _start > _prior").select("_entity", "_start")
-    follow = starts.select(F.col("_entity").alias("_e2"), F.col("_start").alias("_next"), (F.col("_rank") - 1).alias("_r2"))
-    closes = ends.join(follow, F.col("_entity").eqNullSafe(F.col("_e2")) & (F.col("_rank") == F.col("_r2")), "left")
-    closes = closes.where("_next is null or _next > _end").select("_entity", "_end")
-    first = spread_rank(opens, ["_entity"], "_start", stretch * 16, "_k")
-    second = spread_rank(closes, ["_entity"], "_end", stretch * 16, "_k2").withColumnRenamed("_entity", "_e2")
-    both = first.join(second, F.col("_entity").eqNullSafe(F.col("_e2")) & (F.col("_k") == F.col("_k2")))
-    return both.select(F.col("_entity").alias(entity), F.col("_start").alias("period_start"), F.col("_end").alias("period_end"))
+    places = _paired(df, entity, start, end, stretch).where("_start is null or _end is null or _start > _end")
+    ranked = spread_rank(places, ["_entity"], "_r", PERIODS, "_k")
+    sides = F.array(F.struct(F.col("_k").alias("k"), F.col("_start").alias("a"), F.lit(None).cast("bigint").alias("b")), F.struct((F.col("_k") - 1).alias("k"), F.lit(None).cast("bigint").alias("a"), F.col("_end").alias("b")))
+    flat = ranked.select("_entity", F.explode(sides).alias("_s")).select("_entity", F.col("_s.k").alias("_k"), F.col("_s.a").alias("_a"), F.col("_s.b").alias("_b"))
+    both = flat.groupBy("_entity", "_k").agg(F.max("_a").alias("_a"), F.max("_b").alias("_b")).where("_a is not null and _b is not null")
+    return both.select(F.col("_entity").alias(entity), F.col("_a").alias("period_start"), F.col("_b").alias("period_end"))

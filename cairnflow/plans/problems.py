@@ -118,16 +118,37 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.select("source", "sample_type", day, F.explode(kinds).alias("outcome"))
 
 
-def p6_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every reading of sampled and daily types with its verdict."""
+#: What no living body or real room gives, as (lowest, highest) that is still possible, by type and unit.
+POSSIBLE = {
+    "heartRate": (10.0, 300.0),
+    "respiratoryRate": (0.5, 100.0),
+    "oxygenSaturation": (40.0, 100.0),
+    "heartRateVariabilitySDNN": (0.1, 600.0),
+    "environmentalAudioExposure": (0.0, 194.0),
+    "bodyMass": (1.0, 650.0),
+}
+
+
+def _judged(spark: SparkSession, sf_dir: str, screened: bool) -> DataFrame:
     rows = _samples(spark, sf_dir, "sampled", "daily")
     rows = rows.select("uuid", "source", "sample_type", stamp_seconds("start_time").alias("at_s"), "value_num").where("value_num is not null")
-    return judged(once(rows, "uuid", rows.columns), "uuid", "source", "sample_type", "at_s", "value_num")
+    return judged(rows, "uuid", "source", "sample_type", "at_s", "value_num", POSSIBLE, screened=screened)
+
+
+def p6_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reading of sampled and daily types with its flags and verdict."""
+    return _judged(spark, sf_dir, False)
+
+
+def p6_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many readings of each type each flag and each verdict has."""
+    flags = [F.count_if(c).alias(f"n_{c}") for c in ("beyond_limit", "outside_fence", "steep", "flat")]
+    return p6_verdicts(spark, sf_dir).groupBy("sample_type", "verdict").agg(F.count(F.lit(1)).alias("n"), *flags)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings that are not credible."""
-    return p6_verdicts(spark, sf_dir).where("verdict <> 'credible'").select("uuid")
+    return _judged(spark, sf_dir, True).where("verdict <> 'credible'").select("uuid")
 
 
 def p7_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,5 +166,5 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found, "p1_totals": p1_totals, "p2_found": p2_found, "p2_state": p2_state, "p3_found": p3_found,
     "p3_periods": p3_periods, "p4_found": p4_found, "p4_instants": p4_instants, "p5_found": p5_found,
-    "p5_outcomes": p5_outcomes, "p5_totals": p5_totals, "p5_diverted": p5_diverted, "p5_joint": p5_joint, "p6_found": p6_found, "p6_verdicts": p6_verdicts, "p7_found": p7_found, "p7_grid": p7_grid,
+    "p5_outcomes": p5_outcomes, "p5_totals": p5_totals, "p5_diverted": p5_diverted, "p5_joint": p5_joint, "p6_found": p6_found, "p6_verdicts": p6_verdicts, "p6_flags": p6_flags, "p7_found": p7_found, "p7_grid": p7_grid,
 }

@@ -15,7 +15,7 @@ from cairnflow.functions.zones import zone_tables
 from cairnflow.operators import anomalies, chunks, registry
 from cairnflow.operators.anomalies import features, judged
 from cairnflow.operators.arrivals import once
-from cairnflow.operators.changes import apply_changes, current_samples, element_changes
+from cairnflow.operators.changes import apply_changes, current_samples, element_changes, packed, unpacked
 from cairnflow.operators.grid import regular_grid
 from cairnflow.operators.intervals import gaps, periods
 from cairnflow.operators.late import Lateness, diverted, period_outcomes
@@ -23,6 +23,7 @@ from cairnflow.operators.overlap import within
 from cairnflow.operators.ranks import spread_rank
 from cairnflow.operators.rolling import trailing_totals
 from cairnflow.operators.stamps import normalised
+from cairnflow.plans.problems import POSSIBLE
 from cairnflow.streaming.late import Ledger
 from tests.stamps_by_hand import read, zone_of
 
@@ -72,6 +73,16 @@ def test_changes_by_brute_force(spark):
     base = spark.createDataFrame([("zz",), ("never",), ("a",)], "key string")
     assert {r.key for r in apply_changes(element_changes(elements(spark, data)), base).collect()} == {w[0] for w in want} | {"ZZ"}
     assert apply_changes(element_changes(elements(spark, data).where("false"))).count() == 0
+    base = spark.createDataFrame([("zz", 5.0, "x"), ("a", 6.0, "y"), (None, 7.0, "z")], "key string, value_num double, extra string")
+    got = {r.uuid: (r.value_num, r.batch_seq) for r in current_samples(elements(spark, data), base, 16).collect()}
+    assert got["ZZ"] == (5.0, None) and {u: v for u, (v, _) in got.items()} == {u: float(s) for u, s, _ in want} | {"ZZ": 5.0}
+
+
+def test_packed_keys(spark):
+    keys = ["0A1b2c3D-0000-4111-8222-0123456789ab", "x", "", "fifteen letters", "sixteen letters!", "\x01 é ü", "00000000-0000-0000-0000-000000000000"]
+    df = spark.createDataFrame([(k,) for k in keys], "k string")
+    assert [r[0] for r in df.select(unpacked(packed(F.col("k")))).collect()] == [k.upper() for k in keys]
+    assert df.select(packed(F.col("k"))).distinct().count() == len(keys) and df.select(F.length(packed(F.col("k")))).first()[0] == 17
 
 
 def test_intervals_by_brute_force(spark):
@@ -217,11 +228,12 @@ def test_verdicts(spark, target, monkeypatch):
     monkeypatch.setattr(anomalies, "chunked", lambda df, s, a, h: chunks.chunked(df, s, a, h, target, 3000))
     v, bad = series()
     data = [(f"u{i:04d}", "s", "heartRate", 1000 + i * 600, float(x), "clash") for i, x in enumerate(v)]
+    data += data[:200:3]  # delivered again
     data += [("n1", "s", "heartRate", None, 1.0, ""), ("n2", "s", "heartRate", 5, None, ""), ("n3", None, "other", 5, float("inf"), ""), ("n4", None, None, 5, 1.0, "")]
     df = spark.createDataFrame(data, "uuid string, source string, sample_type string, at bigint, v double, _chunk string")
-    got = {r.uuid: r.verdict for r in judged(df, "uuid", "source", "sample_type", "at", "v").collect()}
+    got = {r.uuid: r.verdict for r in judged(df, "uuid", "source", "sample_type", "at", "v", POSSIBLE).collect()}
     assert {int(u[1:]): x for u, x in got.items() if x != "credible" and u[0] == "u"} == bad
-    assert got["n3"] == got["n4"] == "credible" and "n1" not in got and len(got) == len(v) + 2
+    assert got["n3"] == "impossible" and got["n4"] == "credible" and "n1" not in got and len(got) == len(v) + 2
     assert judged(df.where("false"), "uuid", "source", "sample_type", "at", "v").count() == 0
 
 
