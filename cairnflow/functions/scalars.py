@@ -68,10 +68,14 @@ def request_status(path: Column, token_ok: Column, length: Column, most: int) ->
     )
 
 
-def without_key(values: Column, key: str) -> Column:
-    """A map without a key; null if nothing is left."""
-    left = F.map_filter(values, lambda k, _: k != key)
-    return F.when(F.size(left) > 0, left)
+def first_bytes(text: Column, n: int) -> Column:
+    """The first ``n`` bytes of a text as UTF-8, less a character that they cut."""
+    cut = F.substring(F.encode(text, "utf-8"), 1, n)
+    tail = F.hex(F.substring(cut, -4, 4))
+    # bytes of an unfinished character at the end: a first byte that wants more bytes than follow it
+    open_ = F.when(tail.rlike("[CDEF][0-9A-F]$"), 1).when(tail.rlike("[EF][0-9A-F][89AB][0-9A-F]$"), 2).when(tail.rlike("F[0-9A-F]([89AB][0-9A-F]){2}$"), 3).otherwise(0)
+    whole = F.length(cut) < n
+    return F.decode(F.substring(cut, F.lit(1), F.when(whole, F.length(cut)).otherwise(F.length(cut) - open_)), "utf-8")
 
 
 def with_key(values: Column, key: str, value: Column) -> Column:

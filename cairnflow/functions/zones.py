@@ -71,6 +71,24 @@ def zone_tables(years: tuple[int, int] = YEARS) -> ZoneTables:
     return ZoneTables(_version(), first, last, {n: _changes(zoneinfo.ZoneInfo(n), first, last) for n in names})
 
 
+#: The zones that the abbreviations on devices stand for.
+ZONE_OF = {
+    "BST": "Europe/London", "CEST": "Europe/Paris", "CET": "Europe/Paris", "CST": "America/Chicago", "EET": "Europe/Athens",
+    "EST": "America/New_York", "GMT": "GMT", "HST": "Pacific/Honolulu", "IST": "Asia/Kolkata", "JST": "Asia/Tokyo", "MSK": "Europe/Moscow",
+    "MST": "America/Denver", "PST": "America/Los_Angeles", "UTC": "UTC", "WET": "Europe/Lisbon",
+}
+
+
+def zone_names(spark):
+    """Names by which a zone may be given, with the identifier that each stands for: (name, identifier).
+
+    Identifiers stand for themselves, also where they look like abbreviations. About 600 rows, so it may be broadcast.
+    """
+    own = {n for n in zoneinfo.available_timezones() if not n.startswith(("posix/", "right/")) and n != "localtime"}
+    rows = {n: n for n in own} | {a: z for a, z in ZONE_OF.items() if a not in own}
+    return spark.createDataFrame(sorted(rows.items()), "name string, identifier string")
+
+
 def wall_to_utc(wall_us: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Wall times in microseconds to (instants in microseconds, number of instants that the wall time denotes)."""
     at, offsets = table

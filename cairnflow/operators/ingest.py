@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import type_stem
@@ -33,17 +33,29 @@ def rejected(bodies: DataFrame, body: str = "body") -> DataFrame:
     return bodies.withColumn("reason", reason).where("reason is not null")
 
 
+def type_text(v: F.Column) -> F.Column:
+    """A type that is given as JSON as the receiver writes it: a text as it is, a number by its digits, true as ``True``, a
+    list or object as compact JSON; null for what counts as nothing (null, false, 0, an empty text, list or object)."""
+    kind = F.schema_of_variant(v)
+    text = F.try_variant_get(v, "$", "string")
+    json = F.to_json(v)
+    return (
+        F.when(kind == "STRING", F.nullif(text, F.lit("")))
+        .when(kind == "BOOLEAN", F.when(json == "true", F.lit("True")))
+        .when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), F.when(~json.isin("[]", "{}"), json))
+        .when(kind != "VOID", F.when(text.try_cast("double") != 0, json))
+    )
+
+
 def samples_of(split: DataFrame) -> DataFrame:
     """Sample elements with a uuid that is a JSON string (the empty one too): uuid, sample_type, type_stem, el and the rest.
 
-    A type that is no string is null, and its stem ``unknown``.
+    A type that is no string is read as of ``type_text``; one that counts as nothing is null, and its stem ``unknown``.
     """
-
-    def text(path: str) -> F.Column:
-        v = F.try_variant_get("el", path, "variant")
-        return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get("el", path, "string"))
-
-    rows = split.where("kind = 'sample'").withColumns({"uuid": text("$.uuid"), "sample_type": text("$.type")})
+    own = F.try_variant_get("el", "$.uuid", "variant")
+    uuid = F.when(F.schema_of_variant(own) == "STRING", F.try_variant_get("el", "$.uuid", "string"))
+    kind = type_text(F.try_variant_get("el", "$.type", "variant"))
+    rows = split.where("kind = 'sample'").withColumns({"uuid": uuid, "sample_type": kind})
     return rows.where("uuid is not null").withColumn("type_stem", type_stem(F.col("sample_type"))).drop("kind")
 
 
@@ -68,6 +80,25 @@ def first_wins(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return df.join(least, [F.col(key) == F.col("_key"), *same], "left_semi").dropDuplicates([key])
 
 
+def first_of(df: DataFrame, key: str, order: list[str], kept: list[str]) -> DataFrame:
+    """The first row of each key by ``order``, in one aggregate: key, order and ``kept`` columns, ``_n`` (rows of the key) and
+    ``_last`` (its greatest first order column). For narrow rows; wide ones are kept by ``first_wins``. Rows without key are
+    dropped; of rows that tie in all of ``order`` the least counts."""
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.struct(*order, *kept).alias("_row"))
+    first = rows.groupBy("_key").agg(F.min("_row").alias("_row"), F.count(F.lit(1)).alias("_n"), F.max(F.col("_row")[order[0]]).alias("_last"))
+    return first.select(F.col("_key").alias(key), *[F.col("_row")[c].alias(c) for c in (*order, *kept)], "_n", "_last")
+
+
+def identified(split: DataFrame) -> DataFrame:
+    """A row per id of every element, and one without id for an element that has none: the other columns of ``split``, ``_sort``
+    (sample, tombstone or other) and ``_uuid``. An element's JSON is read once."""
+    own = F.try_variant_get("el", "$.uuid", "variant")
+    text = F.when(F.schema_of_variant(own) == "STRING", F.try_variant_get("el", "$.uuid", "string"))
+    gone = F.transform(F.try_variant_get("el", "$.deleted", "array<variant>"), lambda x: F.when(F.schema_of_variant(x) == "STRING", F.variant_get(x, "$", "string")))
+    ids = F.when(F.col("kind") == "sample", F.array(text)).when(F.col("kind") == "tombstone", gone)
+    return split.select(*[c for c in split.columns if c not in ("el", "kind")], F.col("kind").alias("_sort"), F.explode_outer(ids).alias("_uuid"))
+
+
 def new_only(incoming: DataFrame, stored: DataFrame, key: str = "uuid") -> DataFrame:
     """Rows of ``incoming`` whose key the store doesn't have; null keys are new."""
     seen = stored.select(F.col(key).alias("_seen")).where("_seen is not null").distinct()
@@ -95,8 +126,3 @@ def prefix_before_failure(batches: DataFrame, queue: str, seq: str, failed: str)
 def page(df: DataFrame, key: str, anchor: int, size: int = 5000) -> DataFrame:
     """The next page of an incremental scan: the ``size`` rows that follow the anchor."""
     return df.where(F.col(key) > anchor).orderBy(key).limit(size)
-
-
-def last_of(df: DataFrame, group: list[str], order: str) -> F.Column:
-    """Whether a row is the last of its group, which alone carries the anchor."""
-    return F.col(order) == F.max(order).over(Window.partitionBy(*group))

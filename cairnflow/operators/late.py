@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+
 US = 1_000_000
 TOTALS = ("n_published", "sum_published", "n_closed", "sum_closed", "n_corrected", "n_dropped")
 
@@ -38,11 +40,33 @@ class Lateness:
 
 
 def placed(df: DataFrame, rule: Lateness, at: str, arrived: str, value: str, kept: tuple[str, ...] = ()) -> DataFrame:
-    """The rows with an event time: the keys, ``_period``, ``_arrived``, ``_value`` and the columns ``kept``."""
+    """The rows with an event time: the keys, ``_period``, ``_arrived``, ``_latest`` (the same), ``_value``, ``_n`` (1) and ``kept``."""
     number = F.when(F.isnan(F.col(value).cast("double")), None).otherwise(F.col(value).cast("double"))
     names = [F.col(c) for c in dict.fromkeys((*rule.keys, rule.source, *rule.within, *kept))]
     period = F.floor(F.col(at) / F.lit(rule.period_s)).alias("_period")
-    return df.where(F.col(at).isNotNull()).select(*names, period, F.col(arrived).cast("bigint").alias("_arrived"), number.alias("_value"))
+    came = F.col(arrived).cast("bigint")
+    return df.where(F.col(at).isNotNull()).select(*names, period, came.alias("_arrived"), came.alias("_latest"), number.alias("_value"), F.lit(1).cast("bigint").alias("_n"))
+
+
+def _passed(rule: Lateness, after: Column) -> Column:
+    """The period whose bound an arrival passed last; a bound itself isn't passed."""
+    span, since = F.lit(rule.period_s * US), F.col("_arrived") - after * F.lit(US)
+    return ((since + F.pmod(-since, span)) / span).cast("bigint") - 2
+
+
+def condensed(rows: DataFrame, rule: Lateness) -> DataFrame:
+    """Rows of ``placed`` added up as far as no judgement can tell them apart: ``_n``, ``_value``, first and latest arrival.
+
+    If a period waits for its own source alone, every late row arrived at or after the punctuation, so rows of the same
+    keys and period between the same two bounds are judged alike. The sums are bounded by the calendar and are written, as
+    several steps read them. Where other sources are waited for, rows stay as they are.
+    """
+    if rule.within != (rule.source,):
+        return rows
+    names = list(dict.fromkeys((*rule.keys, rule.source)))
+    cells = [_passed(rule, F.lit(s).cast("bigint")).alias(n) for s, n in ((rule.publish_s, "_p"), (rule.close_s, "_c"))]
+    sums = rows.withColumns({"_p": cells[0], "_c": cells[1]}).groupBy(*names, "_period", "_p", "_c")
+    return staged(sums.agg(F.min("_arrived").alias("_arrived"), F.max("_latest").alias("_latest"), F.sum("_value").alias("_value"), F.sum("_n").alias("_n")).drop("_p", "_c"))
 
 
 def marked(rows: DataFrame, rule: Lateness) -> DataFrame:
@@ -53,11 +77,9 @@ def marked(rows: DataFrame, rule: Lateness) -> DataFrame:
     passed last. It is added up before the shuffle and bounded by the calendar.
     """
     afters = F.array(F.lit(rule.publish_s).cast("bigint"), F.lit(rule.close_s).cast("bigint"))
-    arrivals = rows.where("_arrived is not null").select(rule.source, "_arrived", F.explode(F.array_distinct(afters)).alias("_after"))
-    span, since = F.lit(rule.period_s * US), F.col("_arrived") - F.col("_after") * F.lit(US)
-    passed = ((since + F.pmod(-since, span)) / span).cast("bigint") - 2  # a bound itself isn't passed
-    cells = arrivals.select(rule.source, "_after", passed.alias("_passed"), "_arrived")
-    return cells.groupBy(rule.source, "_after", "_passed").agg(F.min("_arrived").alias("_first"), F.max("_arrived").alias("_last"))
+    arrivals = rows.where("_arrived is not null").select(rule.source, "_arrived", "_latest", F.explode(F.array_distinct(afters)).alias("_after"))
+    cells = arrivals.select(rule.source, "_after", _passed(rule, F.col("_after")).alias("_passed"), "_arrived", "_latest")
+    return cells.groupBy(rule.source, "_after", "_passed").agg(F.min("_arrived").alias("_first"), F.max("_latest").alias("_last"))
 
 
 def merged(a: DataFrame, b: DataFrame, rule: Lateness) -> DataFrame:
@@ -126,16 +148,20 @@ def summed(rows: DataFrame, late: DataFrame, rule: Lateness) -> DataFrame:
     """Counts and sums per keys and period; each row is added up before it is shuffled."""
     early = rows.where(F.coalesce(F.col("_arrived") <= rule.bound(rule.publish_s), F.lit(True)))
     no = F.lit(False)
-    names = [*rule.keys, "_period", "_value"]
+    names = [*rule.keys, "_period", "_value", "_n"]
     flat = early.select(*names, no.alias("_corrects"), no.alias("_dropped")).unionByName(late.select(*names, "_corrects", "_dropped"))
-    first = ~F.col("_corrects") & ~F.col("_dropped")
+    first, kept = ~F.col("_corrects") & ~F.col("_dropped"), ~F.col("_dropped")
+
+    def counted(which: Column) -> Column:
+        return F.sum(F.when(which, F.col("_n")).otherwise(0))
+
     return flat.groupBy(*rule.keys, "_period").agg(
-        F.count_if(first).alias("n_published"),
+        counted(first).alias("n_published"),
         F.sum(F.when(first, F.col("_value"))).alias("sum_published"),
-        F.count_if(~F.col("_dropped")).alias("n_closed"),
-        F.sum(F.when(~F.col("_dropped"), F.col("_value"))).alias("sum_closed"),
-        F.count_if("_corrects").alias("n_corrected"),
-        F.count_if("_dropped").alias("n_dropped"),
+        counted(kept).alias("n_closed"),
+        F.sum(F.when(kept, F.col("_value"))).alias("sum_closed"),
+        counted(F.col("_corrects")).alias("n_corrected"),
+        counted(F.col("_dropped")).alias("n_dropped"),
     )
 
 
@@ -157,7 +183,7 @@ def late_rows(rows: DataFrame, rule: Lateness) -> DataFrame:
 
 def period_sums(df: DataFrame, rule: Lateness, at: str, arrived: str, value: str) -> DataFrame:
     """``period_outcomes`` without the moments of publication and closing, which need every period's punctuations."""
-    rows = placed(df, rule, at, arrived, value)
+    rows = condensed(placed(df, rule, at, arrived, value), rule)
     start = (F.col("_period") * F.lit(rule.period_s)).alias("period_start")
     return summed(rows, late_rows(rows, rule), rule).select(*rule.keys, start, *TOTALS)
 
@@ -180,7 +206,7 @@ def period_outcomes(df: DataFrame, rule: Lateness, at: str, arrived: str, value:
     key of its own; null and NaN values count as records but not in sums. Sources of a scope with a third of all rows are
     added up before the shuffle; watermarks are bounded by the calendar. Empty tables give none; other columns are ignored.
     """
-    rows = placed(df, rule, at, arrived, value)
+    rows = condensed(placed(df, rule, at, arrived, value), rule)
     times = punctuated(marked(rows, rule), asked_for(*of_scopes(rows, rule), rule), rule)
     return finished(summed(rows, judged(after_publication(rows, rule), times, rule), rule), times, rule)
 
@@ -188,7 +214,9 @@ def period_outcomes(df: DataFrame, rule: Lateness, at: str, arrived: str, value:
 def diverted(df: DataFrame, rule: Lateness, at: str, arrived: str, value: str, kept: tuple[str, ...] = ()) -> DataFrame:
     """The records that came after their period's closing: the keys, ``kept``, ``period_start``, arrival, value, ``closed_us``."""
     rows = placed(df, rule, at, arrived, value, kept)
-    late = late_rows(rows, rule).where("_dropped")
+    late = after_publication(rows, rule)
+    asked = asked_for(of_scopes(late, rule)[0], of_scopes(rows, rule)[1], rule)
+    late = judged(late, punctuated(marked(rows, rule), asked, rule), rule).where("_dropped")
     start = (F.col("_period") * F.lit(rule.period_s)).alias("period_start")
     names = list(dict.fromkeys((*rule.keys, *kept)))
     return late.select(*names, start, F.col("_arrived").alias(arrived), F.col("_value").alias(value), "closed_us")

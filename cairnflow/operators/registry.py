@@ -69,6 +69,23 @@ ROWS = [
 #: Names of the stages of sleep.
 SLEEP_STAGES = ["inBed", "asleepUnspecified", "awake", "asleepCore", "asleepDeep", "asleepREM"]
 
+#: Names of what a stand hour holds.
+STAND_HOURS = ["stood", "idle"]
+
+#: Names of the activities of workouts, in alphabetical order. Their codes are input data.
+ACTIVITIES = [
+    "americanFootball", "archery", "australianFootball", "badminton", "barre", "baseball", "basketball", "bowling", "boxing",
+    "cardioDance", "climbing", "cooldown", "coreTraining", "cricket", "crossCountrySkiing", "crossTraining", "curling", "cycling",
+    "discSports", "downhillSkiing", "elliptical", "equestrianSports", "fencing", "fishing", "fitnessGaming", "flexibility",
+    "functionalStrengthTraining", "golf", "gymnastics", "handball", "handCycling", "highIntensityIntervalTraining", "hiking",
+    "hockey", "hunting", "jumpRope", "kickboxing", "lacrosse", "martialArts", "mindAndBody", "mixedCardio", "other",
+    "paddleSports", "pickleball", "pilates", "play", "preparationAndRecovery", "racquetball", "rowing", "rugby", "running",
+    "sailing", "skatingSports", "snowboarding", "snowSports", "soccer", "socialDance", "softball", "squash", "stairClimbing",
+    "stairs", "stepTraining", "surfingSports", "swimBikeRun", "swimming", "tableTennis", "taiChi", "tennis", "trackAndField",
+    "traditionalStrengthTraining", "transition", "underwaterDiving", "volleyball", "walking", "waterFitness", "waterPolo",
+    "waterSports", "wheelchairRunPace", "wheelchairWalkPace", "wrestling", "yoga",
+]
+
 #: Conversions to the canonical unit, as (unit, canonical unit, factor, offset).
 UNITS = [
     ("s", "min", 1 / 60, 0.0), ("h", "min", 60.0, 0.0), ("min", "min", 1.0, 0.0), ("ms", "ms", 1.0, 0.0), ("s", "ms", 1000.0, 0.0),
@@ -98,6 +115,21 @@ def converted(value: Column, factor: Column, offset: Column, scale: Column) -> C
     return (value * factor + offset) * scale
 
 
+def measured(df: DataFrame, types: DataFrame, type_col: str = "sample_type", value: str = "value_num", unit: str = "unit_label") -> DataFrame:
+    """``df`` with ``measure`` (the value in the registry's unit, times its scale) and ``unit``.
+
+    A value in another unit is converted if UNITS has the pair; a unit that is null or has no conversion counts as the
+    registry's own. Types that the registry lacks, and types without a unit, have neither.
+    """
+    spark = df.sparkSession
+    dim = F.broadcast(types.select(F.col("key").alias("_key"), F.col("scale").alias("_scale"), F.col("unit").alias("_unit")))
+    pairs = F.broadcast(spark.createDataFrame(UNITS, "_from string, _to string, _factor double, _offset double"))
+    full = df.drop("unit").join(dim, F.col(type_col) == F.col("_key"), "left")
+    full = full.join(pairs, (F.col(unit) == F.col("_from")) & (F.col("_unit") == F.col("_to")), "left")
+    own = converted(F.col(value), F.coalesce("_factor", F.lit(1.0)), F.coalesce("_offset", F.lit(0.0)), F.col("_scale"))
+    return full.withColumns({"measure": own, "unit": F.col("_unit")}).drop("_key", "_scale", "_unit", "_from", "_to", "_factor", "_offset")
+
+
 def labelled(df: DataFrame, labels: DataFrame, code: str, prefix: str = "value_", name: str = "label") -> DataFrame:
     """``df`` with the label of its code, or prefix and code where ``labels`` (code, label; a small dimension) has none.
 

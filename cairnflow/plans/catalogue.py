@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import (
-    base_url, batch_name, endpoint, in_zone, positive, request_status, type_stem, wait_seconds, with_key, without_key,
-)
+from ..functions.scalars import base_url, batch_name, endpoint, first_bytes, in_zone, type_stem, wait_seconds, with_key
 from ..functions.times import micros, stamp_seconds
-from ..operators import ingest, registry
-from ..operators.overlap import within
+from ..functions.zones import zone_names
+from ..operators import ingest, registry, slices, wire, workouts
 from ..operators.ranks import spread_rank
+from ..sources.landing import answered
 from ..sources.tables import table
 
 CUTOFF = "2025-06-01 00:00:00"
 FIRST = ["received_at", "line_id"]
+#: What the status view says of a type that has brought nothing, and of one that was never asked.
+NO_DATA = "No data yet — or Health access not granted (Health app → Sharing)"
+WAITING = "Waiting for first sync"
 
 
 def _zone(metadata: str = "metadata") -> F.Column:
@@ -44,14 +46,25 @@ def enabled_filter(spark, sf_dir):
 
 
 def registry_scale(spark, sf_dir):
-    s = table(spark, sf_dir, "samples").select("line_id", "sample_type", "value_num")
-    return registry.scaled(s, registry.registry(spark)).select("line_id", F.round("scaled_value", 6).alias("scaled_value"), "unit")
+    s = table(spark, sf_dir, "samples").select("line_id", "sample_type", "value_num", "unit_label")
+    return registry.measured(s, registry.registry(spark)).select("line_id", F.round("measure", 6).alias("measure"), "unit")
 
 
 def category_label(spark, sf_dir):
+    """Stages to codes and back by a label table, which is input: here a stage's code is its place in the list."""
     labels = spark.createDataFrame(list(enumerate(registry.SLEEP_STAGES)), "code int, label string")
-    s = table(spark, sf_dir, "samples").where("sample_type = 'sleepAnalysis'").select("line_id", F.length("value_text").alias("code"))
-    return registry.labelled(s, labels, "code").select("line_id", "code", "label")
+    s = table(spark, sf_dir, "samples").where("sample_type = 'sleepAnalysis'").select("line_id", "value_text")
+    known = s.join(F.broadcast(labels), F.col("value_text") == F.col("label"), "left")
+    code = F.coalesce("code", F.regexp_extract("value_text", "^value_([0-9]+)$", 1).try_cast("int"))
+    return registry.labelled(known.select("line_id", code.alias("code")), labels, "code").select("line_id", "label")
+
+
+def activity_label(spark, sf_dir):
+    """Workouts by activity, and whether the name is one of the known activities."""
+    names = spark.createDataFrame([(n,) for n in registry.ACTIVITIES], "name string")
+    s = table(spark, sf_dir, "samples").where("sample_type = 'workout'")
+    met = s.join(F.broadcast(names), F.col("workout_activity_type") == F.col("name"), "left")
+    return met.groupBy("workout_activity_type").agg(F.count(F.lit(1)).alias("n"), F.count("name").alias("n_known"))
 
 
 def kind_guard(spark, sf_dir):
@@ -66,12 +79,16 @@ def element_split(spark, sf_dir):
 
 
 def json_typed(spark, sf_dir):
-    v = F.try_variant_get(F.try_parse_json("metadata"), "$.timeZone", "variant")
-    e = F.try_variant_get(F.try_parse_json("metadata"), "$.HKWasUserEntered", "variant")
+    """Every entry of the records' metadata with the kind of its value."""
+    r = table(spark, sf_dir, "import_records").select("import_id", "metadata")
+    return wire.typed(r, "metadata").select("import_id", "key", "kind", "value")
+
+
+def json_booleans(spark, sf_dir):
+    """Entries of the records' metadata that are booleans."""
     r = table(spark, sf_dir, "import_records")
-    zone = F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
-    entered = F.when(F.schema_of_variant(e) == "BOOLEAN", F.try_variant_get(e, "$", "boolean"))
-    return r.select("import_id", zone.alias("zone"), entered.alias("entered"))
+    values = wire.booleans(F.try_variant_get(F.try_parse_json("metadata"), "$", "map<string, variant>"))
+    return r.select("import_id", F.explode(values).alias("key", "value"))
 
 
 def json_encode(spark, sf_dir):
@@ -85,20 +102,24 @@ def _metadata_map():
 
 
 def receivedat_override(spark, sf_dir):
-    r = table(spark, sf_dir, "import_records")
-    m = with_key(_metadata_map(), "timeZone", F.coalesce("device_zone", F.lit("none")))
-    return r.select("import_id", m["timeZone"].alias("zone"), F.size(m).alias("n_keys"))
+    """Bodies of elements with a receipt of their own, overwritten by the receiver's."""
+    el = table(spark, sf_dir, "batch_elements").where("deleted is null")
+    sent = F.create_map(F.lit("uuid"), "uuid", F.lit("receivedAt"), F.lit("sent by the device"))
+    stamped = with_key(sent, "receivedAt", in_zone(F.col("received_at"), F.lit("UTC")))
+    return el.select("element_id", stamped["uuid"].alias("uuid"), stamped["receivedAt"].alias("receivedat"), F.size(stamped).alias("n_keys"))
 
 
 def metadata_merge(spark, sf_dir):
-    r = table(spark, sf_dir, "import_records")
-    m = without_key(_metadata_map(), "timeZone")
-    return r.select("import_id", m["HKWasUserEntered"].alias("entered"), F.when(m.isNotNull(), F.size(m)).alias("n_keys"))
+    """The zone resolved and folded in, the raw zone key dropped even where it can't be resolved."""
+    r = _zoned(spark, sf_dir)
+    base = F.when(F.col("recorded_zone").isNotNull(), F.create_map(F.lit("zone"), "recorded_zone"))
+    m = wire.merged_metadata(base, _metadata_map(), "timeZone")
+    return r.select("import_id", m["zone"].alias("zone"), m["HKWasUserEntered"].alias("entered"), F.size(m).alias("n_keys"))
 
 
 def dedupe_first_wins(spark, sf_dir):
     s = table(spark, sf_dir, "samples").select("uuid", "line_id", "received_at", "sample_type")
-    return ingest.first_wins(s, "uuid", FIRST).select("uuid", "line_id", "sample_type")
+    return ingest.first_of(s, "uuid", FIRST, ["sample_type"]).select("uuid", "line_id", "sample_type")
 
 
 def dedupe_new_only(spark, sf_dir):
@@ -109,13 +130,16 @@ def dedupe_new_only(spark, sf_dir):
 
 
 def ingest_counts(spark, sf_dir):
+    """Elements received, samples new and tombstones new by queue, from bodies parsed once."""
     split = ingest.elements(_bodies(spark, sf_dir))
-    received = split.groupBy("queue_id").agg(F.count(F.lit(1)).alias("received"))
-    new = ingest.first_wins(ingest.samples_of(split), "uuid", ["element_id", "pos"]).groupBy("queue_id").agg(F.count(F.lit(1)).alias("new"))
-    gone = ingest.first_tombstones(ingest.tombstones_of(split), ["element_id", "pos"])
-    gone = gone.groupBy("queue_id").agg(F.count(F.lit(1)).alias("deleted"))
-    both = received.join(new, "queue_id", "left").join(gone, "queue_id", "left")
-    return both.select("queue_id", "received", F.coalesce("new", F.lit(0)).alias("new"), F.coalesce("deleted", F.lit(0)).alias("deleted"))
+    ids = ingest.identified(split).withColumn("_place", F.struct("element_id", "pos"))
+    first = ids.groupBy("_sort", "_uuid").agg(F.min("_place").alias("_first")).where("_uuid is not null")
+    own = [F.col("_sort").alias("_s"), F.col("_uuid").alias("_u"), F.col("_first")]
+    met = ids.join(first.select(*own), (F.col("_sort") == F.col("_s")) & (F.col("_uuid") == F.col("_u")) & (F.col("_place") == F.col("_first")), "left")
+    fresh = F.col("_first").isNotNull()
+    # a tombstone that names an id twice counts it twice; a sample is new once
+    per = met.groupBy("queue_id", "_place").agg(F.max(F.when(fresh & (F.col("_sort") == "sample"), 1).otherwise(0)).alias("_new"), F.count_if(fresh & (F.col("_sort") == "tombstone")).alias("_gone"))
+    return per.groupBy("queue_id").agg(F.count(F.lit(1)).alias("received"), F.sum("_new").cast("bigint").alias("new"), F.sum("_gone").cast("bigint").alias("deleted"))
 
 
 def tombstone_flatten(spark, sf_dir):
@@ -131,34 +155,48 @@ def tombstone_new_only(spark, sf_dir):
     return ingest.new_only(first, ids.where(F.col("received_at") < cut)).select("uuid", "element_id")
 
 
-def positive_stat_fallback(spark, sf_dir):
+def _workouts(spark, sf_dir):
     s = table(spark, sf_dir, "samples").where("sample_type = 'workout'")
-    sums = s.groupBy("source").agg(F.sum("total_energy_burned").alias("_e"), F.max("duration").alias("_d"))
-    return sums.select("source", F.round(F.coalesce(positive(F.col("_e")), F.col("_d")), 3).alias("total"))
+    return s.select(
+        F.col("line_id").alias("id"), F.col("source").alias("key"), stamp_seconds("start_time").alias("lo"), stamp_seconds("end_time").alias("hi"),
+        F.col("total_energy_burned").alias("legacy_energy"), F.col("workout_activity_type").alias("activity"), "duration",
+    )
+
+
+def _workout_statistics(spark, sf_dir):
+    types = [workouts.HEART, workouts.ENERGY, workouts.BASAL, *workouts.DISTANCES]
+    s = table(spark, sf_dir, "samples").where(F.col("sample_type").isin(types))
+    readings = s.select(F.col("source").alias("key"), "sample_type", stamp_seconds("start_time").alias("at"), F.col("value_num").alias("value"))
+    return workouts.statistics(_workouts(spark, sf_dir), readings)
+
+
+def workout_projection(spark, sf_dir):
+    """Workouts with totals and the heart rate of the readings within them."""
+    full = workouts.projected(_workouts(spark, sf_dir), _workout_statistics(spark, sf_dir))
+    names = ("average_heart_rate", "minimum_heart_rate", "maximum_heart_rate", "total_energy", "basal_energy", "total_distance")
+    return full.select(F.col("id").alias("line_id"), "activity", "duration", *[F.round(c, 6).alias(c) for c in names])
 
 
 def interval_stats(spark, sf_dir):
-    s = table(spark, sf_dir, "samples")
-    spans = s.where("sample_type = 'workout'").select(F.col("line_id").alias("id"), F.col("source").alias("key"), stamp_seconds("start_time").alias("lo"), stamp_seconds("end_time").alias("hi"))
-    beats = s.where("sample_type in ('heartRate', 'stepCount')").select(F.col("source").alias("key"), stamp_seconds("start_time").alias("at"), F.col("value_num").alias("value"))
-    met = within(spans, beats)
-    return met.groupBy(F.col("id").alias("line_id")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("value").alias("lowest"), F.max("value").alias("highest"), F.round(F.avg("value"), 6).alias("average")
-    )
+    """Statistics of the readings within each workout by their type."""
+    met = _workout_statistics(spark, sf_dir)
+    return met.select(F.col("id").alias("line_id"), "sample_type", "n", "lowest", "highest", F.round("average", 6).alias("average"))
 
 
 def type_status(spark, sf_dir):
-    s = table(spark, sf_dir, "samples").select("uuid", "line_id", "received_at", "sample_type", "value_num")
-    checked = s.groupBy("sample_type").agg(F.max("received_at").alias("last_checked"), F.count(F.lit(1)).alias("n_received"))
-    kept = ingest.first_wins(s, "uuid", FIRST)
-    delivered = kept.groupBy(F.col("sample_type").alias("_t")).agg(F.max("received_at").alias("last_delivered"), F.count(F.lit(1)).alias("n_delivered"))
-    both = checked.join(delivered, F.col("sample_type").eqNullSafe(F.col("_t")), "left")
-    return both.select("sample_type", micros(both, "last_checked").alias("last_checked_us"), micros(both, "last_delivered").alias("last_delivered_us"), "n_received", "n_delivered")
+    """When each type was last received and last brought something new, and how many samples it has."""
+    s = table(spark, sf_dir, "samples").select("uuid", "line_id", "received_at", "sample_type")
+    first = ingest.first_of(s, "uuid", FIRST, ["sample_type"])
+    delivered = first.groupBy("sample_type").agg(F.max("received_at").alias("last_delivered"), F.max("_last").alias("last_checked"), F.count(F.lit(1)).alias("n_delivered"), F.sum("_n").alias("n_received"))
+    return delivered.select("sample_type", micros(delivered, "last_checked").alias("last_checked_us"), micros(delivered, "last_delivered").alias("last_delivered_us"), "n_received", "n_delivered")
 
 
 def missing_anchor(spark, sf_dir):
+    """Enabled types of which nothing was ever synchronised."""
+    off = spark.createDataFrame([("workout", False), ("mindfulSession", True)], "key string, enabled boolean")
+    wanted = table(spark, sf_dir, "sample_types").join(F.broadcast(off), F.col("sample_type") == F.col("key"), "left").where(F.coalesce("enabled", F.lit(True)))
     kept = table(spark, sf_dir, "batch_elements").select(F.col("sample_type").alias("_t"))
-    return table(spark, sf_dir, "sample_types").join(kept, F.col("sample_type") == F.col("_t"), "left_anti").select("sample_type")
+    return wanted.join(kept, F.col("sample_type") == F.col("_t"), "left_anti").select("sample_type")
 
 
 def ordered_groups(spark, sf_dir):
@@ -173,13 +211,30 @@ def keyset_page(spark, sf_dir):
     return ingest.page(table(spark, sf_dir, "samples").select("line_id", "uuid", "sample_type"), "line_id", 1000)
 
 
+def _pages(spark, sf_dir):
+    """Elements of each queue in pages of the incremental scan, with the bytes of their encoding."""
+    el = table(spark, sf_dir, "batch_elements")
+    body = _bodies(spark, sf_dir).select(F.col("element_id").alias("_e"), (F.octet_length("body") - 2).alias("size"))
+    ranked = spread_rank(el.select("queue_id", "element_id"), ["queue_id"], "element_id", 100_000, "rank")
+    page = F.floor((F.col("rank") - 1) / slices.PAGE).alias("page")
+    return ranked.select("queue_id", "element_id", page).join(body, F.col("element_id") == F.col("_e"))
+
+
 def chunk(spark, sf_dir):
-    el = table(spark, sf_dir, "batch_elements").select("queue_id", "element_id")
-    ranked = spread_rank(el, ["queue_id"], "element_id", 100_000, "rank")
-    parts = ranked.groupBy("queue_id", F.floor((F.col("rank") - 1) / 50).alias("part"))
-    sizes = parts.agg(F.count(F.lit(1)).alias("n"), F.min("element_id").alias("first_element"), F.max("element_id").alias("last_element"))
-    anchor = F.when(F.col("part") == F.max("part").over(Window.partitionBy("queue_id")), F.col("last_element"))
-    return sizes.select("queue_id", "part", "n", "first_element", anchor.alias("anchor"))
+    """Pages cut to slices of at most 16 KiB, the anchor on the last slice alone."""
+    return slices.sliced(_pages(spark, sf_dir), "queue_id", "page", "element_id", "size", 16 << 10)
+
+
+def batch_codec(spark, sf_dir):
+    """Batches written as files and read again: what comes back, and whether it is what went in."""
+    el = table(spark, sf_dir, "batch_elements").where("uuid is not null")
+    one = F.to_variant_object(F.array(F.struct("uuid", F.col("sample_type").alias("type"))))
+    text = wire.batch_json(F.col("queue_id"), F.col("sample_type"), F.col("created_at"), F.encode(F.col("element_id").cast("string"), "utf-8"), one)
+    files = el.select("element_id", "uuid", F.col("created_at").alias("_created"), text.alias("text"))
+    back = wire.batch_fields(files, "text")
+    uuid = F.try_variant_get("elements", "$[0].uuid", "string")
+    whole = (F.decode("anchor", "utf-8") == F.col("element_id").cast("string")) & (F.substring(F.col("_created").cast("string"), 1, 19) == F.col("created_at").cast("string"))
+    return back.select("element_id", uuid.alias("uuid"), "type_key", F.col("id").alias("queue_id"), (whole & F.col("decoded")).alias("whole"))
 
 
 def fifo_prefix(spark, sf_dir):
@@ -189,18 +244,21 @@ def fifo_prefix(spark, sf_dir):
 
 
 def backoff(spark, sf_dir):
+    """Waits after failures and the next attempts; one that is forced is due at once."""
     el = table(spark, sf_dir, "batch_elements")
     wait = wait_seconds(F.col("pos") + 1)
     at = micros(el, "received_at")
-    rows = el.select("element_id", wait.alias("wait_s"), (at + wait * 1_000_000).alias("next_us"), at.alias("_at"))
-    due = F.col("next_us") <= F.col("_at") + 600_000_000
+    forced = F.col("batch_seq") % 7 == 0
+    rows = el.select("element_id", wait.alias("wait_s"), (at + wait * 1_000_000).alias("next_us"), at.alias("_at"), forced.alias("_forced"))
+    due = F.coalesce(F.col("_forced"), F.lit(False)) | (F.col("next_us") <= F.col("_at") + 600_000_000)
     return rows.select("element_id", "wait_s", "next_us", due.alias("due"))
 
 
 def quarantine(spark, sf_dir):
-    r = table(spark, sf_dir, "import_records").where("metadata is not null")
+    """Bodies of the records that the receiver would refuse: none at all, cut off, or no array."""
+    r = table(spark, sf_dir, "import_records")
     cut = F.expr("substring(metadata, 1, length(metadata) - 1)")
-    body = F.when(F.col("device_zone").isNull(), cut).otherwise(F.concat(F.lit("["), F.col("metadata"), F.lit("]")))
+    body = F.when(F.col("device_zone").isNull(), cut).when(F.col("file_locale") == "en_GB", F.col("metadata")).otherwise(F.concat(F.lit("["), F.col("metadata"), F.lit("]")))
     return ingest.rejected(r.select("import_id", body.alias("body"))).select("import_id", "reason")
 
 
@@ -214,10 +272,18 @@ def ts_offset(spark, sf_dir):
     return s.select("line_id", in_zone(F.col("received_at"), F.coalesce("device_zone", F.lit("UTC"))).alias("received"))
 
 
-def zone_provenance(spark, sf_dir):
+def _zoned(spark, sf_dir):
+    """Records with the zone that their metadata name, resolved, and the zone that counts."""
     r = table(spark, sf_dir, "import_records")
-    used = F.coalesce(_zone(), F.col("device_zone"), F.lit("UTC"))
-    return r.select("import_id", _zone().alias("recorded_zone"), used.alias("zone"), F.coalesce(_zone().isNotNull(), F.lit(False)).alias("recorded"))
+    names = zone_names(spark)
+    own = F.broadcast(names.select(F.col("name").alias("_n1"), F.col("identifier").alias("recorded_zone")))
+    device = F.broadcast(names.select(F.col("name").alias("_n2"), F.col("identifier").alias("_device")))
+    met = r.join(own, _zone() == F.col("_n1"), "left").join(device, F.col("device_zone") == F.col("_n2"), "left")
+    return met.withColumn("zone", F.coalesce("recorded_zone", "_device", F.lit("UTC"))).drop("_n1", "_n2", "_device")
+
+
+def zone_provenance(spark, sf_dir):
+    return _zoned(spark, sf_dir).select("import_id", "recorded_zone", "zone", F.col("recorded_zone").isNotNull().alias("recorded"))
 
 
 def url_normalise(spark, sf_dir):
@@ -239,16 +305,27 @@ def batch_names(spark, sf_dir):
 
 
 def http_status(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    path = F.when(F.col("kind_code") == "U1", "/elsewhere").otherwise("/ingest")
-    status = request_status(path, F.lower("lang") == "en", F.when(F.col("n_claims") == 0, 0).otherwise(F.col("n_chars")), 4000)
-    return d.select("doc_id", status.alias("status"), status.between(200, 299).alias("delivered"))
+    """Elements as requests of one element each, some of them faulty, answered by the receiver's guards."""
+    el = _bodies(spark, sf_dir).join(table(spark, sf_dir, "batch_elements").select(F.col("element_id").alias("_e"), "pos"), F.col("element_id") == F.col("_e"))
+    pos = F.col("pos")
+    size = F.octet_length("body").cast("string")
+    requests = el.select(
+        "element_id",
+        F.when(pos == 11, "/elsewhere").otherwise("/ingest").alias("path"),
+        F.when(pos == 7, "wrong").when(pos != 9, "secret").alias("token"),
+        F.when(pos == 3, "x").when(pos == 4, "-5").when(pos == 5, "99999999999").otherwise(size).alias("length"),
+        F.when(pos == 2, "gzip").alias("encoding"),
+        F.encode(F.when(pos == 6, F.substring("body", 2, 1 << 30)).when(pos == 8, F.expr("substring(body, 2, length(body) - 2)")).otherwise(F.col("body")), "utf-8").alias("content"),
+    )
+    return answered(requests, "secret").select("element_id", "status", F.col("status").between(200, 299).alias("delivered"))
 
 
 def status_label(spark, sf_dir):
-    sums = table(spark, sf_dir, "samples").groupBy("sample_type").agg(F.count(F.lit(1)).alias("n"), F.count("value_num").alias("n_values"))
-    text = F.when(F.col("n_values") == 0, "no values").when(F.col("n_values") < F.col("n"), "some values").otherwise("all values")
-    return sums.select("sample_type", "n", text.alias("status"))
+    """What the status view says of every type of the registry."""
+    seen = type_status(spark, sf_dir).select(F.col("sample_type").alias("_t"), "n_delivered")
+    types = registry.registry(spark).select("key", "display", "group")
+    text = F.when(F.col("n_delivered") > 0, F.concat(F.col("n_delivered").cast("string"), F.lit(" delivered"))).when(F.col("n_delivered").isNotNull(), NO_DATA).otherwise(WAITING)
+    return types.join(seen, F.col("key") == F.col("_t"), "left").select("key", "display", "group", text.alias("status"))
 
 
 def top_recent(spark, sf_dir):
@@ -262,8 +339,10 @@ def log_tail(spark, sf_dir):
 
 
 def truncate(spark, sf_dir):
+    """Texts cut as the log and the status cut them: a snippet of 300 bytes, the others by characters."""
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.substring("text", 1, 120).alias("snippet"), F.substring("pub_number", 1, 8).alias("short_id"))
+    cuts = [F.substring("text", 1, n).alias(f"c{n}") for n in (120, 80, 160)]
+    return d.select("doc_id", first_bytes(F.col("text"), 300).alias("b300"), *cuts, F.substring("pub_number", 1, 8).alias("c8"))
 
 
 def crc32(spark, sf_dir):
@@ -271,13 +350,13 @@ def crc32(spark, sf_dir):
 
 
 QUERIES = {
-    "scan_samples": scan_samples, "enabled_filter": enabled_filter, "registry_scale": registry_scale, "category_label": category_label,
-    "kind_guard": kind_guard, "element_split": element_split, "json_typed": json_typed, "json_encode": json_encode,
+    "scan_samples": scan_samples, "enabled_filter": enabled_filter, "registry_scale": registry_scale, "category_label": category_label, "activity_label": activity_label,
+    "kind_guard": kind_guard, "element_split": element_split, "json_typed": json_typed, "json_booleans": json_booleans, "json_encode": json_encode,
     "receivedat_override": receivedat_override, "metadata_merge": metadata_merge, "dedupe_first_wins": dedupe_first_wins,
     "dedupe_new_only": dedupe_new_only, "ingest_counts": ingest_counts, "tombstone_flatten": tombstone_flatten,
-    "tombstone_new_only": tombstone_new_only, "positive_stat_fallback": positive_stat_fallback, "interval_stats": interval_stats,
+    "tombstone_new_only": tombstone_new_only, "workout_projection": workout_projection, "interval_stats": interval_stats,
     "type_status": type_status, "missing_anchor": missing_anchor, "ordered_groups": ordered_groups, "keyset_page": keyset_page,
-    "chunk": chunk, "fifo_prefix": fifo_prefix, "backoff": backoff, "quarantine": quarantine, "sanitize": sanitize,
+    "chunk": chunk, "batch_codec": batch_codec, "fifo_prefix": fifo_prefix, "backoff": backoff, "quarantine": quarantine, "sanitize": sanitize,
     "ts_offset": ts_offset, "zone_provenance": zone_provenance, "url_normalise": url_normalise, "batch_name": batch_names,
     "http_status": http_status, "status_label": status_label, "top_recent": top_recent, "log_tail": log_tail, "truncate": truncate,
     "crc32": crc32,

@@ -151,6 +151,22 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(spark, sf_dir, True).where("verdict <> 'credible'").select("uuid")
 
 
+def p6_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings of each type, and those beyond the limits of the type."""
+    return p6_flags(spark, sf_dir).groupBy("sample_type").agg(F.sum("n").alias("n"), F.sum("n_beyond_limit").alias("n_beyond_limit"))
+
+
+def p6_stuck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings of ten or more successive equal values."""
+    return p6_verdicts(spark, sf_dir).where("flat").select("uuid")
+
+
+def p7_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hourly series with means to six places, which don't depend on the order of adding."""
+    rounded = [F.round(c, 6).alias(c) for c in ("mean", "filled")]
+    return p7_grid(spark, sf_dir).select("source", "sample_type", "step_start", "n", *rounded, "state")
+
+
 def p7_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly series of each source and sampled type, missing hours marked."""
     rows = _samples(spark, sf_dir, "sampled").select("uuid", "source", "sample_type", stamp_seconds("start_time").alias("at_s"), "value_num")
@@ -166,5 +182,5 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found, "p1_totals": p1_totals, "p2_found": p2_found, "p2_state": p2_state, "p3_found": p3_found,
     "p3_periods": p3_periods, "p4_found": p4_found, "p4_instants": p4_instants, "p5_found": p5_found,
-    "p5_outcomes": p5_outcomes, "p5_totals": p5_totals, "p5_diverted": p5_diverted, "p5_joint": p5_joint, "p6_found": p6_found, "p6_verdicts": p6_verdicts, "p6_flags": p6_flags, "p7_found": p7_found, "p7_grid": p7_grid,
+    "p5_outcomes": p5_outcomes, "p5_totals": p5_totals, "p5_diverted": p5_diverted, "p5_joint": p5_joint, "p6_found": p6_found, "p6_verdicts": p6_verdicts, "p6_flags": p6_flags, "p6_limits": p6_limits, "p6_stuck": p6_stuck, "p7_found": p7_found, "p7_grid": p7_grid, "p7_steps": p7_steps,
 }

@@ -1,4 +1,4 @@
-"""An incremental source: pages of rows after an anchor, the anchor being the stream's offset."""
+"""An incremental source: rows after an anchor, the anchor being the stream's offset."""
 
 from __future__ import annotations
 
@@ -8,49 +8,63 @@ import pyarrow.dataset as ds
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-PAGE = 5000
 
+class RowGroup(InputPartition):
+    """The rows of one row group of one file with low < key <= high."""
 
-class KeyRange(InputPartition):
-    def __init__(self, low: int, high: int) -> None:
-        self.low, self.high = low, high
+    def __init__(self, path: str, group: int, low: int, high: int) -> None:
+        self.path, self.group, self.low, self.high = path, group, low, high
 
 
 class AnchoredReader(DataSourceStreamReader):
-    """Rows with anchor < key <= offset, split in pages that executors read."""
+    """Rows with anchor < key <= offset; executors read the row groups that may hold some.
+
+    The driver reads footers only: the greatest key is that of the row groups' statistics. A row group without statistics
+    is scanned for its greatest key, batch by batch.
+    """
 
     def __init__(self, options: dict, names: list[str]) -> None:
         self.path, self.key, self.names = options["path"], options["key"], names
-        self.page = int(options.get("page", PAGE))
 
-    def _keys(self, low: int) -> list[int]:
-        table = ds.dataset(self.path, format="parquet").scanner(columns=[self.key], filter=ds.field(self.key) > low)
-        return sorted(k for b in table.to_batches() for k in b.column(0).to_pylist())[: self.page * 16]
+    def _groups(self) -> Iterator[tuple[str, int, int, int]]:
+        """Path and number of each row group with the least and the greatest key in it."""
+        for whole in ds.dataset(self.path, format="parquet").get_fragments():
+            for part in whole.split_by_row_group():
+                group = part.row_groups[0]
+                held = group.statistics.get(self.key) if group.statistics else None
+                if held is None:
+                    seen = [x for b in part.scanner(columns=[self.key]).to_batches() for x in _bounds(b.column(0))]
+                    held = {"min": min(seen), "max": max(seen)} if seen else None
+                if held is not None and held["max"] is not None:
+                    yield part.path, group.id, held["min"], held["max"]
 
     def initialOffset(self) -> dict:
-        self.anchor = -1
         return {"anchor": -1}
 
     def latestOffset(self) -> dict:
-        keys = self._keys(getattr(self, "anchor", -1))
-        self.anchor = keys[-1] if keys else getattr(self, "anchor", -1)
+        self.anchor = max([getattr(self, "anchor", -1), *(top for *_, top in self._groups())])
         return {"anchor": self.anchor}
 
-    def partitions(self, start: dict, end: dict) -> list[KeyRange]:
-        self.anchor = max(getattr(self, "anchor", -1), end["anchor"])
-        keys = [k for k in self._keys(start["anchor"]) if k <= end["anchor"]]
-        cuts = [start["anchor"], *keys[self.page - 1 :: self.page]]
-        if keys and cuts[-1] != keys[-1]:
-            cuts.append(keys[-1])
-        return [KeyRange(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
+    def partitions(self, start: dict, end: dict) -> list[RowGroup]:
+        low, high = start["anchor"], end["anchor"]
+        self.anchor = max(getattr(self, "anchor", -1), high)
+        return [RowGroup(path, group, low, high) for path, group, least, top in self._groups() if top > low and least <= high]
 
-    def read(self, partition: KeyRange) -> Iterator:
+    def read(self, partition: RowGroup) -> Iterator:
         among = (ds.field(self.key) > partition.low) & (ds.field(self.key) <= partition.high)
-        yield from ds.dataset(self.path, format="parquet").scanner(columns=self.names, filter=among).to_batches()
+        whole = next(iter(ds.dataset(partition.path, format="parquet").get_fragments()))
+        yield from whole.subset(row_group_ids=[partition.group]).scanner(columns=self.names, filter=among).to_batches()
+
+
+def _bounds(column) -> list[int]:
+    import pyarrow.compute as pc
+
+    both = pc.min_max(column).as_py()
+    return [] if both["min"] is None else [both["min"], both["max"]]
 
 
 class AnchoredSource(DataSource):
-    """Stream of a growing parquet table in order of a bigint key. Options: path, key, columns (DDL), page."""
+    """Stream of a growing parquet table in order of a bigint key. Options: path, key, columns (DDL)."""
 
     @classmethod
     def name(cls) -> str:
@@ -63,7 +77,11 @@ class AnchoredSource(DataSource):
         return AnchoredReader(self.options, schema.fieldNames())
 
 
-def anchored(spark: SparkSession, path: str, key: str, columns: str, page: int = PAGE):
-    """``path`` as a stream of the given columns; its offset is the greatest key read, kept in the checkpoint."""
+def anchored(spark: SparkSession, path: str, key: str, columns: str):
+    """``path`` as a stream of the given columns; its offset is the greatest key read, kept in the checkpoint.
+
+    A micro-batch holds all rows that are there, however many: nothing passes the driver but bounds of row groups. Keys
+    must grow: a row whose key is not above the anchor when it is written is not read. Null keys are left out.
+    """
     spark.dataSource.register(AnchoredSource)
-    return spark.readStream.format("anchored").options(path=path, key=key, columns=columns, page=page).load()
+    return spark.readStream.format("anchored").options(path=path, key=key, columns=columns).load()

@@ -66,7 +66,7 @@ class Ledger:
 
     def diverted(self) -> DataFrame:
         """The records that came after their period's closing."""
-        return self.spark.read.parquet(f"{self.folder}/diverted").drop("_dropped", "_corrects", "part")
+        return self.spark.read.parquet(f"{self.folder}/diverted").drop("_dropped", "_corrects", "_latest", "_n", "part")
 
     def start(self, records: DataFrame, checkpoint: str) -> StreamingQuery:
         """Adds what the stream brings until it has no more."""

@@ -9,10 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairnflow.functions.masks import Stamps, day_month_order
-from cairnflow.functions.scalars import base_url, batch_name, in_zone, positive, type_stem, wait_seconds, with_key, without_key
+from cairnflow.functions.scalars import base_url, batch_name, first_bytes, in_zone, positive, type_stem, wait_seconds, with_key
 from cairnflow.functions.times import micros, stamp_seconds
-from cairnflow.functions.zones import zone_tables
-from cairnflow.operators import anomalies, chunks, registry
+from cairnflow.functions.zones import zone_names, zone_tables
+from cairnflow.operators import anomalies, chunks, registry, slices, wire, workouts
 from cairnflow.operators.anomalies import features, judged
 from cairnflow.operators.arrivals import once
 from cairnflow.operators.changes import apply_changes, current_samples, element_changes, packed, unpacked
@@ -312,7 +312,7 @@ def test_scalars(spark):
     assert [r[0] for r in df.select(type_stem(F.col("t"))).collect()] == ["a_b__", "unknown", "unknown", "ok-1_"]
     one = spark.sql("select 7 seq, 'abcdefghijk' id, map('HKTimeZone', 'x') m, timestamp_ntz'2024-03-10 07:30:00' t")
     r = one.select(
-        batch_name(F.col("seq"), F.col("id")), without_key(F.col("m"), "HKTimeZone"), with_key(F.col("m"), "receivedAt", F.lit("z"))["receivedAt"],
+        batch_name(F.col("seq"), F.col("id")), wire.merged_metadata(F.lit(None), F.col("m"), "HKTimeZone"), with_key(F.col("m"), "receivedAt", F.lit("z"))["receivedAt"],
         in_zone(F.col("t"), F.lit("America/New_York")), in_zone(F.col("t"), F.lit("UTC")), in_zone(F.col("t"), F.lit("Asia/Kathmandu")),
         wait_seconds(F.lit(3)), positive(F.lit(0.0)),
     ).first()
@@ -330,3 +330,87 @@ def test_registry(spark):
     labels = spark.createDataFrame([(0, "inBed")], "code int, label string")
     got = registry.labelled(spark.createDataFrame([(0,), (9999,), (None,)], "c int"), labels, "c").collect()
     assert {(r.c, r.label) for r in got} == {(0, "inBed"), (9999, "value_9999"), (None, None)}
+
+
+def test_workouts(spark):
+    spans = [(1, "w", 100, 200, 412.0, 5000.0, 37), (2, "w", 300, 400, 0.0, None, 3001), (3, "w", 500, 450, 9.0, None, None), (4, None, 100, 200, None, 7.0, 37), (5, "w", 600, 700, 50.0, 800.0, 37)]
+    ws = spark.createDataFrame(spans, "id int, key string, lo bigint, hi bigint, legacy_energy double, legacy_distance double, code int")
+    data = [
+        ("w", "heartRate", 100, 90.0), ("w", "heartRate", 200, 110.0), ("w", "heartRate", 201, 999.0), ("w", "stepCount", 150, 5000.0), ("w", "heartRate", 150, None), ("w", "heartRate", 150, float("nan")),
+        ("w", "activeEnergyBurned", 120, 0.0), ("w", "activeEnergyBurned", 320, 30.0), ("w", "activeEnergyBurned", 330, 12.5), ("w", "basalEnergyBurned", 620, 0.0), ("w", "basalEnergyBurned", 320, 4.0),
+        ("w", "distanceSwimming", 350, 40.0), ("w", "distanceCycling", 350, 0.0), ("w", "distanceWheelchair", 350, 8.0), ("x", "heartRate", 150, 1.0), (None, "heartRate", 150, 1.0), ("w", "heartRate", None, 1.0), ("w", None, 150, 1.0),
+    ]
+    readings = spark.createDataFrame(data, "key string, sample_type string, at bigint, value double")
+    stats = workouts.statistics(ws, readings)
+    labels = spark.createDataFrame([(37, "running")], "code int, label string")
+    got = {r.id: r for r in workouts.projected(ws, stats, labels).collect()}
+    assert len(got) == 5 and (got[1].average_heart_rate, got[1].minimum_heart_rate, got[1].maximum_heart_rate) == (100.0, 90.0, 110.0)
+    assert (got[1].total_energy, got[1].basal_energy, got[1].total_distance, got[1].activity) == (412.0, None, 5000.0, "running")  # a sum of 0 is absent
+    assert (got[2].total_energy, got[2].basal_energy, got[2].total_distance, got[2].activity) == (42.5, 4.0, 40.0, "activity_3001")
+    assert got[3].total_energy == 9.0 and got[3].average_heart_rate is None and got[3].activity is None
+    assert got[4].average_heart_rate is None and got[4].total_distance == 7.0 and got[5].basal_energy is None and got[5].total_energy == 50.0
+    zero = spark.createDataFrame([(9, "w", 0, 1, 0.0)], "id int, key string, lo bigint, hi bigint, legacy_energy double")
+    assert workouts.projected(zero, stats.where("false")).first().total_energy == 0.0  # a legacy total of 0 stays
+
+
+def test_slices(spark):
+    def halved(sizes, most):
+        if len(sizes) <= 1 or sum(sizes) + len(sizes) + 1 <= most:
+            return [sizes]
+        mid = len(sizes) // 2
+        return halved(sizes[:mid], most) + halved(sizes[mid:], most)
+
+    rnd = random.Random(3)
+    for n in (0, 1, 2, 3, 16, 57):
+        sizes = [rnd.randint(1, 60) for _ in range(n)]
+        begins = slices.cuts(sizes, 100)
+        assert [sizes[a:b] for a, b in zip(begins, [*begins[1:], n])] == (halved(sizes, 100) if n else [])
+    rows_ = [("q", 0, i, 30 if i != 5 else 900) for i in range(16)] + [("q", 1, 99, 5), (None, 0, 7, None)]
+    df = spark.createDataFrame(rows_, "queue string, page bigint, at bigint, bytes int").withColumn("slice", F.lit("clash"))
+    got = slices.sliced(df, "queue", "page", "at", "bytes", 120).collect()
+    first = sorted((r for r in got if r.queue == "q" and r.page == 0), key=lambda r: r.slice)
+    assert sum(r.n for r in first) == 16 and [r.first for r in first] == sorted(r.first for r in first) and [r.slice for r in first] == list(range(len(first)))
+    assert all(r.bytes <= 120 or r.n == 1 for r in got) and [r.anchor for r in first] == [None] * (len(first) - 1) + [15]
+    assert {(r.queue, r.bytes, r.anchor) for r in got if r.page == 1 or r.queue is None} == {("q", 7, 99), (None, 2, 7)}
+    assert slices.sliced(df.where("false"), "queue", "page", "at", "bytes").count() == 0
+
+
+def test_batch_files(spark):
+    one = spark.sql("select 'id-1' i, 'heartRate' t, timestamp_ntz'2027-05-06 07:08:09.5' c, X'010203' a, parse_json('[{\"uuid\":\"x/y\",\"v\":58.0}]') e")
+    text = one.select(wire.batch_json(F.col("i"), F.col("t"), F.col("c"), F.col("a"), F.col("e")).alias("text"))
+    assert text.first().text == '{"anchor":"AQID","createdAt":"2027-05-06T07:08:09Z","elements":[{"uuid":"x/y","v":58}],"id":"id-1","typeKey":"heartRate"}'
+    files = text.unionByName(spark.createDataFrame([("nope",), (None,), ("{}",), ('{"id":"b","typeKey":"t","createdAt":"2027-01-01T00:00:00Z","elements":[]}',), ('{"id":"b","typeKey":"t","createdAt":"soon","elements":[]}',)], "text string"))
+    got = wire.batch_fields(files, "text").select("decoded", "id", "type_key", F.hex("anchor").alias("anchor"), F.col("created_at").cast("string").alias("at"), F.to_json("elements").alias("els")).collect()
+    assert [r.decoded for r in got] == [True, False, False, False, True, False]
+    assert tuple(got[0])[1:] == ("id-1", "heartRate", "010203", "2027-05-06 07:08:09", '[{"uuid":"x/y","v":58}]') and got[4].anchor is None
+
+
+def test_metadata(spark):
+    df = spark.createDataFrame([(1, '{"a":"x","b":2.5,"c":true,"d":1,"e":[1],"f":null,"g":{"h":1}}', "clash"), (2, None, ""), (3, "{", ""), (4, "[]", "")], "id int, metadata string, kind_ string")
+    got = {r.key: (r.kind, r.value) for r in wire.typed(df, "metadata").collect()}
+    assert got == {"a": ("string", "x"), "b": ("number", "2.5"), "c": ("bool", "true"), "d": ("number", "1"), "e": ("text", "[1]"), "f": ("text", "null"), "g": ("text", '{"h":1}')}
+    m = spark.sql("select map('zone','Asia/Dubai') b, map('HKTimeZone','??','k','v','zone','mine') r, cast(null as map<string,string>) n, map('HKTimeZone','x') z")
+    row = m.select(*[wire.merged_metadata(F.col(a), F.col(b), "HKTimeZone") for a, b in (("b", "r"), ("b", "n"), ("n", "z"), ("n", "n"), ("b", "z"))]).first()
+    assert tuple(row) == ({"k": "v", "zone": "mine"}, {"zone": "Asia/Dubai"}, None, None, {"zone": "Asia/Dubai"})
+    held = spark.sql("select cast(parse_json('{\"on\":true,\"off\":false,\"n\":1,\"s\":\"true\"}') as map<string, variant>) m")
+    assert held.select(wire.booleans(F.col("m"))).first()[0] == {"on": True, "off": False}
+
+
+def test_labels_and_units(spark):
+    assert len(registry.ACTIVITIES) == len(set(registry.ACTIVITIES)) == 81 and registry.ACTIVITIES == sorted(registry.ACTIVITIES, key=str.lower)
+    hours = spark.createDataFrame(list(enumerate(registry.STAND_HOURS)), "code int, label string")
+    got = registry.labelled(spark.createDataFrame([(0,), (1,), (7,), (None,)], "c int"), hours, "c").collect()
+    assert {(r.c, r.label) for r in got} == {(0, "stood"), (1, "idle"), (7, "value_7"), (None, None)}
+    data = [("timeInDaylight", 120.0, "s", 2.0), ("appleSleepingWristTemperature", 98.6, "degF", 37.0), ("oxygenSaturation", 0.97, None, 97.0), ("heartRateVariabilitySDNN", 0.25, "s", 250.0), ("heartRate", 60.0, "count/min", 60.0), ("nope", 1.0, "s", None), (None, 1.0, None, None), ("heartRate", None, None, None)]
+    df = spark.createDataFrame([x[:3] for x in data], "sample_type string, value_num double, unit_label string")
+    got = [None if r.measure is None else round(r.measure, 6) for r in registry.measured(df, registry.registry(spark)).collect()]
+    assert sorted(got, key=str) == sorted((x[3] for x in data), key=str)
+    names = {r.name: r.identifier for r in zone_names(spark).collect()}
+    assert names["Europe/Lisbon"] == "Europe/Lisbon" and names["JST"] == "Asia/Tokyo" and "Mars/Phobos" not in names
+
+
+def test_first_bytes(spark):
+    texts = ["", "a" * 400, "é" * 200, "x" + "é" * 200, "€" * 150, "a€" * 100, "🙂" * 90, "xyz" + "🙂" * 90, "short é", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    want = [None if t is None else t.encode()[:300].decode(errors="ignore") for t in texts]
+    assert [r[0] for r in df.select(first_bytes(F.col("t"), 300)).collect()] == want
