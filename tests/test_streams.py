@@ -4,19 +4,23 @@ from __future__ import annotations
 
 import gzip
 import json
+import threading
 import time
 import zlib
+from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
 from cairnflow.sources.anchored import anchored
-from cairnflow.sources.landing import answered, decoded, landed, reloaded, retained, stored_lines, unpacked
+from cairnflow.sources.landing import answered, decoded, export_lines, landed, reloaded, retained, stored_lines, unpacked
 from cairnflow.streaming.ingest import Store
 from cairnflow.operators.late import Lateness
 from cairnflow.streaming.late import Ledger
+from cairnflow.sources.settings import Settings
 from cairnflow.streaming.supervisor import Supervisor, wait_after
+from cairnflow.streaming.upload import send, uploading
 
 BODY = [
     {"uuid": "q-17", "type": "bodyMass", "start": "2024-02-11T06:30:00-03:00", "end": "2024-02-11T06:30:00-03:00", "value": 71.5, "unit": "kg", "source": "scale"},
@@ -194,19 +198,84 @@ def test_supervisor():
         def awaitTermination(self, limit):
             return True
 
+    class Slow(Query):
+        isActive = True
+
+        def awaitTermination(self, limit):
+            return False
+
+        def stop(self):
+            stopped.append(1)
+
     now = [0.0]
-    runs = []
+    runs, stopped = [], []
 
     def bad():
         runs.append(1)
-        raise OSError
+        raise KeyError("any exception")
 
-    s = Supervisor({"bad": bad, "good": Query}, clock=lambda: now[0])
-    assert s.run() == {"bad": "failed", "good": "done"}
-    assert s.run() == {"bad": "waiting", "good": "done"}
+    s = Supervisor({"bad": bad, "good": Query, "slow": Slow}, clock=lambda: now[0])
+    assert s.run() == {"bad": "failed", "good": "done", "slow": "timeout"} and stopped == [1]
+    assert s.run() == {"bad": "waiting", "good": "done", "slow": "timeout"}
     assert s.run("manual")["bad"] == "failed" and s.due["bad"] == 120
     assert [wait_after(n) for n in (0, 1, 2, 3, 7, 50)] == [0, 60, 120, 240, 3600, 3600]
     assert len(runs) == 2
+    now[0] = 1000.0
+    assert s.run("refresh")["bad"] == "failed" and s.run("refresh") == {}
+    now[0] += 4 * 3600
+    assert s.run("refresh")["good"] == "done" and Supervisor({}).run() == {}
+
+
+def test_upload_stops_at_a_failure(spark, tmp_path):
+    got, answers = [], [200, 503]
+
+    class Receiver(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = gzip.decompress(self.rfile.read(int(self.headers["Content-Length"])))
+            got.append((self.headers["Authorization"], json.loads(body)))
+            self.send_response(answers.pop(0) if answers else 204)
+            self.end_headers()
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Receiver)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/ingest"
+    schema = "batch_seq bigint, body string"
+    spark.createDataFrame([(3, "[3]"), (1, "[1]"), (2, "[2]"), (4, None)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+
+    def run():
+        q = spark.readStream.schema(schema).parquet(str(tmp_path / "in")).writeStream.foreachBatch(uploading(url, "t0"))
+        return q.option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination(60)
+
+    with pytest.raises(Exception, match="503"):
+        run()
+    assert [b for _, b in got] == [[1], [2]] and got[0][0] == "Bearer t0"
+    run()
+    assert [b for _, b in got[2:]] == [[1], [2], [3]]
+    run()
+    server.shutdown()
+    assert len(got) == 5 and not send(b"[]", url, timeout_s=1).is_success and send(b"[]", url, timeout_s=1).status == 0
+
+
+def test_settings(spark, tmp_path):
+    s = Settings(spark, str(tmp_path / "settings"))
+    assert s.load() == {} and s.enabled(["a"]) == ["a"]
+    s.save({"endpoint": "http://h:1", "enabled": {"a": False, "b": True, "c": 0, "d": "false"}})
+    s.save({"endpoint": "http://h:2"})
+    assert s.load()["endpoint"] == "http://h:2" and s.enabled(["a", "b", "c", "d", "e"]) == ["b", "c", "d", "e"]
+    with pytest.raises(ValueError, match="secret"):
+        s.save({"apiToken": "x"})
+
+
+def test_export(spark, tmp_path):
+    rows = spark.createDataFrame([("u1", 5.0, "heart"), ("u2", None, "sleep")], "uuid string, value double, type_stem string")
+    export_lines(rows, str(tmp_path / "out"))
+    seen, gone = reloaded(stored_lines(spark, str(tmp_path / "out")))
+    assert sorted(r.uuid for r in seen.collect()) == ["u1", "u2"] and gone.count() == 0
+    held = spark.read.text(str(tmp_path / "out")).collect()
+    assert {(r.value, r.type_stem) for r in held} == {('{"uuid":"u1","value":5.0}', "heart"), ('{"uuid":"u2"}', "sleep")}
 
 
 def test_crc_vector(spark):
