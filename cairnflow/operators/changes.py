@@ -66,9 +66,13 @@ def _applied(changes: DataFrame, base: DataFrame | None, segment: int, payload:
         start = [none.cast(kinds[c]).alias(c) for c in ORDER[:3]]
         held = [F.struct(*[(F.col(c) if c in base.columns else none).cast(kinds[c]).alias(c) for c in payload]).alias("_v")] if payload else []
         places = places.unionByName(base.where("key is not null").select(packed(F.col("key")).alias("key"), *start, F.lit(1).alias("_kind"), *held))
-    # deliveries of the same change are one, before the shuffle already
-    once = places.groupBy("key", *ORDER).agg(*[F.min("_v").alias("_v")]) if payload else places.distinct()
-    cut = once.withColumn("_segment", F.coalesce(F.floor(F.col("_seq") / F.lit(segment)), F.lit(-1)))
+    # deliveries of the same change become one before the shuffle already, and rows stay where that shuffle brings them
+    whole = F.struct(*ORDER, *["_v"] * bool(payload))
+    segments = places.groupBy("key", F.coalesce(F.floor(F.col("_seq") / F.lit(segment)), F.lit(-1)).alias("_segment"))
+    flat = segments.agg(F.collect_set(whole).alias("_all")).select("key", "_segment", F.explode("_all").alias("_one"))
+    cut = flat.select("key", "_segment", *[F.col(f"_one.{c}").alias(c) for c in ORDER], *[F.col("_one._v").alias("_v")] * bool(payload))
+    if payload:
+        cut = cut.groupBy("key", "_segment", *ORDER).agg(F.min("_v").alias("_v"))
     left = _net(cut, ["key", "_segment"], bool(payload)).drop("_segment")
     return _net(left, ["key"], bool(payload)).where("_kind = 1")
 
