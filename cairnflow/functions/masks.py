@@ -14,8 +14,29 @@ _CLASSES = {c: "9" for c in "0123456789"} | {chr(c): "a" for c in (*range(65, 91
 _TABLE = str.maketrans(_CLASSES | {" ": " ", " ": " ", " ": " ", " ": " ", "\t": " "})
 _SPACES = str.maketrans({" ": " ", " ": " ", " ": " ", " ": " ", "\t": " "})
 
-#: The months' names as stamps have them, the first three letters.
-MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+#: The months' names in the languages that stamps come in.
+MONTHS = {
+    "en": "january february march april may june july august september october november december",
+    "de": "januar februar märz april mai juni juli august september oktober november dezember",
+    "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre",
+    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre",
+    "it": "gennaio febbraio marzo aprile maggio giugno luglio agosto settembre ottobre novembre dicembre",
+    "pt": "janeiro fevereiro março abril maio junho julho agosto setembro outubro novembro dezembro",
+    "nl": "januari februari maart april mei juni juli augustus september oktober november december",
+}
+
+
+def _month_numbers() -> dict[str, int]:
+    """Month names, and their first three and four letters, to numbers; what stands for two months is left out."""
+    found: dict[str, set[int]] = {"mrz": {3}, "mrt": {3}}
+    for names in MONTHS.values():
+        for k, name in enumerate(names.split(), 1):
+            for text in {name, name[:3], name[:4]}:
+                found.setdefault(text, set()).add(k)
+    return {t: next(iter(ks)) for t, ks in found.items() if len(ks) == 1}
+
+
+MONTH_NUMBERS = _month_numbers()
 
 _DATES = [
     r"(?P<Y>9999)(?P<s1>[-/.])(?P<M>99?)(?P=s1)(?P<D>99?)",
@@ -33,9 +54,13 @@ _SHAPES = [
 _NUMBER = re.compile(r"(?P<i>9{9,19})(?:\.(?P<f>9{1,9}))?")
 
 US = 1_000_000
-#: Seconds since 1970 of 2001, and of the first and last instants that plain numbers may mean.
+#: Seconds since 1970 of 2001, and of the years between which plain numbers are looked for by default.
 EPOCH_2001, EARLIEST, LATEST = 978_307_200, 1_577_836_800, 1_798_761_600
 
+#: What a stamp came to.
+STATUSES = ["read", "empty", "unreadable", "no zone", "twice or never", "outside the zone tables"]
+READ, EMPTY, UNREADABLE, NO_ZONE, AMBIGUOUS, OUTSIDE = range(len(STATUSES))
+
 MONTH_FIRST = {"en_US", "en_PH", "en_FM", "en_PW", "en_UM", "en_AS", "en_GU"}
 YEAR_FIRST = {"ja", "zh", "ko", "sv", "hu", "lt", "mn", "fa"}
 
@@ -51,7 +76,8 @@ def day_month_order(locale: str | None) -> int:
 
 
 def mask_of(text: str) -> str:
-    return text.translate(_TABLE)
+    mask = text.translate(_TABLE)
+    return mask if mask.isascii() else "".join("a" if c.isalpha() else c for c in mask)
 
 
 def parser(mask: str) -> re.Match | None:
@@ -74,20 +100,22 @@ def _days(y: np.ndarray, m: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.n
 class Stamps:
     """Reads columns of stamps with the zones, locales and tables given."""
 
-    def __init__(self, tables: ZoneTables) -> None:
-        self.tables = tables
+    def __init__(self, tables: ZoneTables, numbers: tuple[int, int] = (EARLIEST, LATEST)) -> None:
+        self.tables, self.numbers = tables, numbers
         self.parsers: dict[str, re.Match] = {}  # of masks that are stamps; how many there are is bound by the shapes
 
     def read(self, texts: list[str | None], orders: np.ndarray, zones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Instants in microseconds, and whether the stamp denotes exactly one.
+        """Instants in microseconds, and the status of each (see STATUSES): READ if the stamp denotes exactly one.
 
         ``orders`` as of ``day_month_order``; ``zones`` holds the name of a zone that exists, or None, for stamps
         without a zone of their own.
         """
-        out, good = np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
+        out, status = np.zeros(len(texts), np.int64), np.full(len(texts), UNREADABLE, np.int8)
         groups: dict[str, list[int]] = {}
         clean: list[str] = []
         for i, text in enumerate(texts):
+            if not text or len(text) <= LONGEST and not text.strip():
+                status[i] = EMPTY
             text = text.strip().translate(_SPACES) if text and len(text) <= LONGEST else ""
             clean.append(text)
             if text:
@@ -99,8 +127,8 @@ class Stamps:
             self.parsers[mask] = plan
             at = np.array(rows)
             chars = np.array([clean[i] for i in rows], dtype=f"U{len(mask)}").view(np.uint32).reshape(len(rows), len(mask))
-            out[at], good[at] = self._convert(plan, chars, orders[at], zones[at])
-        return out, good
+            out[at], status[at] = self._convert(plan, chars, orders[at], zones[at])
+        return out, status
 
     def _convert(self, plan: re.Match, chars: np.ndarray, orders: np.ndarray, zones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         found = plan.groupdict()
@@ -137,7 +165,7 @@ class Stamps:
             month, day = np.where(month_first, a, b), np.where(month_first, b, a)
         elif found.get("N") is not None:
             values, where = np.unique(words("N"), return_inverse=True)
-            month = np.array([MONTHS.index(v[:3].lower()) + 1 if v[:3].lower() in MONTHS else 0 for v in map(str, values)])[where]
+            month = np.array([MONTH_NUMBERS.get(v.lower(), 0) for v in map(str, values)])[where]
         if found.get("t") is not None:
             good &= np.isin(words("t"), ["T", "t"])
         if found.get("at") is not None:
@@ -176,24 +204,24 @@ class Stamps:
         if found.get("id") is not None:
             inner = words("id")
             names = np.array([v if v in self.tables.zones else None for v in inner], object)
+        status = np.where(good, READ, UNREADABLE).astype(np.int8)
         need = good & ~own
         if need.any():
-            ok = np.zeros(n, bool)
+            status[need] = NO_ZONE
             for zone in {z for z in names[need] if z is not None}:
                 rows = np.flatnonzero(need & (names == zone))
                 instants, count = wall_to_utc(wall[rows], self.tables.zones[zone])
                 inside = (instants >= self.tables.first * US) & (instants < self.tables.last * US)
-                out[rows], ok[rows] = instants, (count == 1) & inside
-            good &= own | ok
-        return out, good
+                out[rows], status[rows] = instants, np.where(count != 1, AMBIGUOUS, np.where(inside, READ, OUTSIDE))
+        return out, status
 
-    @staticmethod
-    def _plain(whole: np.ndarray, fraction: np.ndarray, broken: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Counts since 1970 in s, ms, us or ns, or seconds since 2001: what lies between 2020 and 2026."""
+    def _plain(self, whole: np.ndarray, fraction: np.ndarray, broken: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Counts since 1970 in s, ms, us or ns, or seconds since 2001: what lies between the two instants of ``numbers``."""
         out, good = np.zeros(len(whole), np.int64), np.zeros(len(whole), bool)
+        earliest, latest = self.numbers
         for per_s, epoch in ((1, 0), (1, EPOCH_2001), (1000, 0), (US, 0), (1000 * US, 0)):
             seconds = whole // per_s + epoch
-            holds = (seconds >= EARLIEST) & (seconds < LATEST)
+            holds = (seconds >= earliest) & (seconds < latest)
             if per_s == 1:
                 us = (whole + epoch) * US + fraction
             elif per_s <= US:
@@ -201,4 +229,4 @@ class Stamps:
             else:
                 us = whole // (per_s // US)
             out, good = np.where(holds, us, out), good | holds
-        return out, good
+        return out, np.where(good, READ, UNREADABLE).astype(np.int8)

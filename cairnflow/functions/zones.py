@@ -18,7 +18,7 @@ ABBREVIATIONS = {
     "MST": -7, "MDT": -6, "PST": -8, "PDT": -7, "AKST": -9, "AKDT": -8, "HST": -10, "JST": 9,
 }
 
-YEARS = (2018, 2030)
+YEARS = (1990, 2040)
 
 
 @dataclass(frozen=True)
@@ -47,7 +47,7 @@ def _changes(zone: zoneinfo.ZoneInfo, first: int, last: int) -> tuple[np.ndarray
     def offset(at: int) -> int:
         return int(datetime.fromtimestamp(at, zone).utcoffset() / timedelta(seconds=1))
 
-    at, offsets, step = [], [offset(first)], 7 * 86400  # no rule holds for less than a week
+    at, offsets, step = [], [offset(first)], 14 * 86400  # no rule holds for less than two weeks
     for t in range(first, last, step):
         low, high = t, min(t + step, last)
         if (after := offset(high)) != offsets[-1]:
@@ -68,7 +68,14 @@ def zone_tables(years: tuple[int, int] = YEARS) -> ZoneTables:
     """
     first, last = (int(datetime(y, 1, 1, tzinfo=UTC).timestamp()) for y in years)
     names = sorted(n for n in zoneinfo.available_timezones() if not n.startswith(("posix/", "right/")) and n != "localtime")
-    return ZoneTables(_version(), first, last, {n: _changes(zoneinfo.ZoneInfo(n), first, last) for n in names})
+    known: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}  # many names stand for the same rules
+    zones = {}
+    for n in names:
+        rules = next((f.read_bytes() for p in zoneinfo.TZPATH if (f := Path(p, n)).is_file()), n.encode())
+        if rules not in known:
+            known[rules] = _changes(zoneinfo.ZoneInfo(n), first, last)
+        zones[n] = known[rules]
+    return ZoneTables(_version(), first, last, zones)
 
 
 #: The zones that the abbreviations on devices stand for.

@@ -64,9 +64,13 @@ def p3_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("source", F.col("period_start").alias("period_start_s"), F.col("period_end").alias("period_end_s"))
 
 
+#: Seconds of the beginnings of 2020 and 2027: all instants of the records lie between them.
+BETWEEN = (1_577_836_800, 1_798_761_600)
+
+
 def p4_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both stamps of every import record as instants, with the status of each."""
-    return normalised(table(spark, sf_dir, "import_records"))
+    return normalised(table(spark, sf_dir, "import_records"), numbers=BETWEEN)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

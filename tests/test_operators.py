@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cairnflow.functions.masks import Stamps, day_month_order
+from cairnflow.functions.masks import READ, Stamps, day_month_order
 from cairnflow.functions.scalars import base_url, batch_name, first_bytes, in_zone, positive, type_stem, wait_seconds, with_key
 from cairnflow.functions.times import micros, stamp_seconds
 from cairnflow.functions.zones import zone_names, zone_tables
@@ -280,14 +280,24 @@ def test_stamps_by_hand(spark, sf):
         ("2021-11-07T01:30:00-05:00[America/New_York]", None, "Asia/Tokyo", "2021-11-07T06:30:00"), ("2021-11-07T10:30:00[Asia/Tokyo]", None, None, "2021-11-07T01:30:00"),
         ("601206642.418", None, None, "2020-01-20T09:50:42.418"), ("1578936767335", None, None, "2020-01-13T17:32:47.335"), ("12345", None, None, None),
         ("2024-02-30T10:00:00Z", None, None, None), ("2024-02-29T10:00:00.1234567Z", None, None, "2024-02-29T10:00:00.123456"), ("x" * 5000, None, "UTC", None),
+        ("5 Decoy 2021 10:00", None, "UTC", None), ("5 mai 2021 10:00", "fr_FR", "UTC", "2021-05-05T10:00:00"), ("1. März 2021 10:00", "de_DE", "UTC", "2021-03-01T10:00:00"), ("5 juin 2021 10:00", "fr_FR", "UTC", "2021-06-05T10:00:00"),
+        ("3 déc. 2021 10:00", "fr_FR", "UTC", "2021-12-03T10:00:00"), ("Sept 3, 2021 10:00", "en_US", "UTC", "2021-09-03T10:00:00"), ("5 jui 2021 10:00", "fr_FR", "UTC", None), ("2017-06-01 10:00:00", None, "Europe/Berlin", "2017-06-01T08:00:00"),
         ("13:00 PM", None, "UTC", None), ("2024-01-01 13:00 PM", None, "UTC", None), ("2024-01-01 10:00 QQT", None, "UTC", None), (None, None, "UTC", None), ("  ", None, "UTC", None),
     ],
 )
 def test_stamp(text, locale, zone, want):
     zones = np.empty(1, object)
     zones[0] = zone
-    us, good = Stamps(zone_tables()).read([text], np.array([day_month_order(locale)]), zones)
-    assert (np.datetime64(int(us[0]), "us") if good[0] else None) == (np.datetime64(want, "us") if want else None)
+    us, status = Stamps(zone_tables()).read([text], np.array([day_month_order(locale)]), zones)
+    assert (np.datetime64(int(us[0]), "us") if status[0] == READ else None) == (np.datetime64(want, "us") if want else None)
+
+
+def test_statuses(spark):
+    data = [("2021-03-14T02:30:00", None, "America/New_York"), ("2021-03-14T02:30:00", None, None), (" ", "x", None), (None, "1950-01-01 00:00:00", "Asia/Tokyo"), ("2021-01-01T00:00:00Z", "2021-02-30T00:00:00Z", None), ("1600000000", "978307200", None)]
+    df = spark.createDataFrame([(i, *d) for i, d in enumerate(data)], "import_id int, start_time string, end_time string, device_zone string").withColumns({"metadata": F.lit(None).cast("string"), "file_locale": F.lit("en_US"), "start_status": F.lit("clash")})
+    got = [(r.start_status, r.end_status, r.start_us is None) for r in normalised(df).orderBy("import_id").collect()]
+    assert got == [("twice or never", "empty", True), ("no zone", "empty", True), ("empty", "unreadable", True), ("empty", "outside the zone tables", True), ("read", "unreadable", False), ("read", "unreadable", False)]
+    assert normalised(df, numbers=(0, 2_000_000_000)).where("import_id = 5").first().end_status == "read"
 
 
 def test_once_and_times(spark):
