@@ -23,7 +23,7 @@ LEAST = 0.004  # interquartile range at least, as a share of the level
 CALMEST = 0.8  # least interquartile range of a context, as a share of that of all hours
 STEEP = 3.0  # times the steps of its calmer side that a spike must jump
 #: Fences of at most so many series and hours are sent to all tasks; more are joined by a shuffle.
-SMALL_MAP = 200_000
+SMALL_MAP = 20_000
 FEW = 48  # readings that a context needs for quartiles of its own
 
 
@@ -181,7 +181,7 @@ def judged(
     steps on its calmer side, an implausible rate of change; climbs and falls come in steps of like size, lasting changes
     don't return. ``flat``: one of ten or more equal readings, without variance. A spike is outside and steep at once, as a
     climb is only outside; impossible and stuck readings take no part in the sketches. With ``screened``, readings that
-    don't jump at all aren't held against the fences, which leaves the verdicts as they are.
+    don't jump at all aren't held against fences too many to be sent to all tasks, which leaves the verdicts as they are.
 
     Long series are cut into chunks with neighbouring rows (see ``chunked``), so no task holds an unbounded series. The
     table is scanned for the sizes of series (three columns) and for the readings, which are shuffled once.
@@ -207,6 +207,7 @@ def judged(
     block = F.floor(F.col("_context") / F.lit(BLOCK_H)).alias("_block")
     series = ("_source", "_type")
     parts = normal.groupBy(*series, "_context").agg(F.kll_sketch_agg_double("_residual").alias("_sketch"))
+    parts = staged(parts)  # three levels are made of them
     blocks = parts.groupBy(*series, block).agg(F.kll_merge_agg_double("_sketch").alias("_sketch"))
     whole = blocks.groupBy(*series).agg(F.kll_merge_agg_double("_sketch").alias("_sketch"))
 
@@ -241,9 +242,10 @@ def judged(
         return df.select(*names, *flags, verdict.alias("verdict"))
 
     fences = staged(fences)  # a row per series and hour of day
-    if fences.count() <= SMALL_MAP:
+    small = fences.count() <= SMALL_MAP
+    if small:
         fences = F.broadcast(fences)
-    if not screened:
+    if small or not screened:
         return told(seen.join(fences, on, "left"), outside, steep)
     jumpy = seen.where("_jump > 0").join(fences, on, "left")
     return told(seen.where("_jump <= 0"), no, no).unionByName(told(jumpy, outside, steep))
