@@ -18,6 +18,13 @@ def stamp_seconds(column: str | Column) -> Column:
     return F.unix_seconds(stamp_instant(column))
 
 
+def instant(seconds: Column) -> Column:
+    """Seconds since 1970 to a TIMESTAMP_NTZ in UTC."""
+    rest = F.pmod(seconds, F.lit(86400))
+    span = F.make_dt_interval(((seconds - rest) / F.lit(86400)).cast("int"), F.lit(0), F.lit(0), rest.cast("decimal(18, 6)"))
+    return F.expr("timestamp_ntz'1970-01-01 00:00:00'") + span
+
+
 def micros(df: DataFrame, column: str) -> Column:
     """A timestamp column, with or without zone, to microseconds since 1970; one without zone means UTC."""
     kind = dict(df.dtypes)[column]

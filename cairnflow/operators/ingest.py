@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import type_stem
@@ -126,3 +126,23 @@ def prefix_before_failure(batches: DataFrame, queue: str, seq: str, failed: str)
 def page(df: DataFrame, key: str, anchor: int, size: int = 5000) -> DataFrame:
     """The next page of an incremental scan: the ``size`` rows that follow the anchor."""
     return df.where(F.col(key) > anchor).orderBy(key).limit(size)
+
+
+def page_elements(page_rows: DataFrame, key: str, deletions: DataFrame, group: list[str]) -> DataFrame:
+    """The elements that pages give, in order: a sample for each row, then one tombstone with all ids deleted since.
+
+    ``page_rows`` holds ``group`` and ``key`` (a bigint), ``deletions`` ``group`` and ``uuid``. Columns: group, ``pos`` (from 0),
+    the key of a sample, ``deleted`` of a tombstone (sorted, each id once). A group without deletions has no tombstone,
+    one without samples only that. Pages are bounded (see ``page``), so a group's rows are numbered in one task. Null ids
+    and null keys are left out.
+    """
+    rows = page_rows.where(F.col(key).isNotNull()).select(*group, F.col(key).alias("_key"))
+    placed = rows.withColumn("pos", F.row_number().over(Window.partitionBy(*group).orderBy("_key")) - 1)
+    samples = placed.select(*group, "pos", F.col("_key").alias(key), F.lit(None).cast("array<string>").alias("deleted"))
+    names = {c: f"_g{i}" for i, c in enumerate(group)}
+    sizes = rows.groupBy(*[F.col(c).alias(n) for c, n in names.items()]).agg(F.count(F.lit(1)).cast("int").alias("_n"))
+    gone = deletions.where("uuid is not null").groupBy(*group).agg(F.array_sort(F.collect_set("uuid")).alias("deleted"))
+    met = gone.join(sizes, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()], "left")
+    kind = dict(page_rows.dtypes)[key]
+    tombs = met.select(*group, F.coalesce("_n", F.lit(0)).alias("pos"), F.lit(None).cast(kind).alias(key), "deleted")
+    return samples.unionByName(tombs)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import base_url, batch_name, endpoint, first_bytes, in_zone, type_stem, wait_seconds, with_key
-from ..functions.times import micros, stamp_seconds
+from ..functions.times import instant, micros, stamp_seconds
 from ..functions.zones import zone_names
 from ..operators import ingest, registry, slices, wire, workouts
 from ..operators.ranks import spread_rank
@@ -39,6 +39,18 @@ def scan_samples(spark, sf_dir):
     return s.select("line_id", "uuid", "sample_type", "start_time", "end_time", "value_num", "value_text", F.col("unit_label").alias("unit"), "source", offset.alias("start_offset"), _zone().alias("zone"))
 
 
+def base_projection(spark, sf_dir):
+    """Samples as they are sent: times in the zone that was recorded, else in the device's; the zone only where it was recorded."""
+    names = zone_names(spark)
+    recorded = F.broadcast(names.select(F.col("name").alias("_n1"), F.col("identifier").alias("recorded_zone")))
+    devices = table(spark, sf_dir, "sources").select(F.col("source").alias("_s"), "device_zone")
+    s = table(spark, sf_dir, "samples").select("line_id", "sample_type", "start_time", "end_time", "source", _zone().alias("_z"))
+    met = s.join(recorded, F.col("_z") == F.col("_n1"), "left").join(devices, F.col("source") == F.col("_s"), "left")
+    zone = F.coalesce("recorded_zone", "device_zone", F.lit("UTC"))
+    at = {c: instant(stamp_seconds(c)) for c in ("start_time", "end_time")}
+    return met.select("line_id", in_zone(at["start_time"], zone).alias("start"), in_zone(at["end_time"], zone).alias("end"), "recorded_zone")
+
+
 def enabled_filter(spark, sf_dir):
     off = spark.createDataFrame([("heartRate", False), ("workout", True)], "key string, enabled boolean")
     s = table(spark, sf_dir, "samples").join(F.broadcast(off), F.col("sample_type") == F.col("key"), "left")
@@ -211,6 +223,14 @@ def keyset_page(spark, sf_dir):
     return ingest.page(table(spark, sf_dir, "samples").select("line_id", "uuid", "sample_type"), "line_id", 1000)
 
 
+def page_elements(spark, sf_dir):
+    """The first page of each queue as elements: its samples in order, then the ids deleted by its tombstones."""
+    el = table(spark, sf_dir, "batch_elements").where("batch_seq < 40")
+    added = el.where("uuid is not null and deleted is null").select("queue_id", "element_id")
+    gone = el.where("deleted is not null").select("queue_id", F.explode("deleted").alias("uuid"))
+    return ingest.page_elements(added, "element_id", gone, ["queue_id"]).select("queue_id", "pos", "element_id", F.array_join("deleted", ",").alias("deleted"))
+
+
 def _pages(spark, sf_dir):
     """Elements of each queue in pages of the incremental scan, with the bytes of their encoding."""
     el = table(spark, sf_dir, "batch_elements")
@@ -350,13 +370,13 @@ def crc32(spark, sf_dir):
 
 
 QUERIES = {
-    "scan_samples": scan_samples, "enabled_filter": enabled_filter, "registry_scale": registry_scale, "category_label": category_label, "activity_label": activity_label,
+    "scan_samples": scan_samples, "base_projection": base_projection, "enabled_filter": enabled_filter, "registry_scale": registry_scale, "category_label": category_label, "activity_label": activity_label,
     "kind_guard": kind_guard, "element_split": element_split, "json_typed": json_typed, "json_booleans": json_booleans, "json_encode": json_encode,
     "receivedat_override": receivedat_override, "metadata_merge": metadata_merge, "dedupe_first_wins": dedupe_first_wins,
     "dedupe_new_only": dedupe_new_only, "ingest_counts": ingest_counts, "tombstone_flatten": tombstone_flatten,
     "tombstone_new_only": tombstone_new_only, "workout_projection": workout_projection, "interval_stats": interval_stats,
     "type_status": type_status, "missing_anchor": missing_anchor, "ordered_groups": ordered_groups, "keyset_page": keyset_page,
-    "chunk": chunk, "batch_codec": batch_codec, "fifo_prefix": fifo_prefix, "backoff": backoff, "quarantine": quarantine, "sanitize": sanitize,
+    "chunk": chunk, "page_elements": page_elements, "batch_codec": batch_codec, "fifo_prefix": fifo_prefix, "backoff": backoff, "quarantine": quarantine, "sanitize": sanitize,
     "ts_offset": ts_offset, "zone_provenance": zone_provenance, "url_normalise": url_normalise, "batch_name": batch_names,
     "http_status": http_status, "status_label": status_label, "top_recent": top_recent, "log_tail": log_tail, "truncate": truncate,
     "crc32": crc32,

@@ -20,6 +20,7 @@ _ZONES = f"""zones AS (SELECT name, any_value(zone) AS zone FROM (SELECT name, n
   SELECT name, zone FROM {_ABBREVIATED} WHERE name NOT IN (SELECT name FROM pg_timezone_names())) GROUP BY 1),
 zoned AS (SELECT r.import_id, r.metadata, o.zone AS own, coalesce(o.zone, d.zone, 'UTC') AS zone FROM import_records r
   LEFT JOIN zones o ON o.name = (r.metadata ->> '$.timeZone') LEFT JOIN zones d ON d.name = r.device_zone)"""
+_ISO = "strftime({w}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN {m} = 0 THEN 'Z' ELSE (CASE WHEN {m} < 0 THEN '-' ELSE '+' END) || lpad(CAST(abs({m}) // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(abs({m}) % 60 AS VARCHAR), 2, '0') END"
 _STAGES = f"(VALUES {', '.join(f'({i}, {_quoted(s)})' for i, s in enumerate(SLEEP_STAGES))}) l(code, label)"
 _S = "CAST(epoch(CAST({} AS TIMESTAMPTZ)) AS BIGINT)"
 _START, _END = _S.format("start_time"), _S.format("end_time")
@@ -109,6 +110,16 @@ SQL = {
     "p7_found": f"""WITH {_HOURS} SELECT source, sample_type, hour_start_s FROM (
       SELECT source, sample_type, unnest(generate_series((h + 1) * 3600, (nh - 1) * 3600, 3600)) AS hour_start_s FROM ahead WHERE nh - h BETWEEN 2 AND 48)""",
     "scan_samples": "SELECT line_id, uuid, sample_type, start_time, end_time, value_num, value_text, unit_label AS unit, source, regexp_extract(start_time, '(Z|[+-]\\d\\d:\\d\\d)$', 1) AS start_offset, metadata ->> '$.timeZone' AS zone FROM samples",
+    "base_projection": f"""WITH {_ZONES}, z AS (SELECT s.line_id, o.zone AS own, coalesce(o.zone, d.device_zone, 'UTC') AS zone, timezone('UTC', to_timestamp({_START})) AS a, timezone('UTC', to_timestamp({_END})) AS b
+        FROM samples s LEFT JOIN zones o ON o.name = (s.metadata ->> '$.timeZone') LEFT JOIN sources d USING (source)),
+      l AS (SELECT line_id, own, a, b, timezone(zone, timezone('UTC', a)) AS wa, timezone(zone, timezone('UTC', b)) AS wb FROM z),
+      o AS (SELECT *, CAST((epoch_us(wa) - epoch_us(a)) // 60000000 AS BIGINT) AS ma, CAST((epoch_us(wb) - epoch_us(b)) // 60000000 AS BIGINT) AS mb FROM l)
+      SELECT line_id, {_ISO.format(w='wa', m='ma')} AS start, {_ISO.format(w='wb', m='mb')} AS "end", own AS recorded_zone FROM o""",
+    "page_elements": """WITH e AS (SELECT * FROM batch_elements WHERE batch_seq < 40), a AS (SELECT queue_id, element_id FROM e WHERE uuid IS NOT NULL AND deleted IS NULL),
+      g AS (SELECT queue_id, array_to_string(list_sort(list(DISTINCT x)), ',') AS deleted FROM (SELECT queue_id, unnest(deleted) AS x FROM e) WHERE x IS NOT NULL GROUP BY 1),
+      n AS (SELECT queue_id, count(*) AS n FROM a GROUP BY 1)
+      SELECT queue_id, CAST(row_number() OVER (PARTITION BY queue_id ORDER BY element_id) - 1 AS INTEGER) AS pos, element_id, CAST(NULL AS VARCHAR) AS deleted FROM a
+      UNION ALL SELECT queue_id, CAST(coalesce(n.n, 0) AS INTEGER), NULL, g.deleted FROM g LEFT JOIN n USING (queue_id)""",
     "enabled_filter": "SELECT line_id, sample_type FROM samples WHERE sample_type IS DISTINCT FROM 'heartRate'",
     "registry_scale": f"SELECT line_id, round((value_num * coalesce(u.f, 1) + coalesce(u.o, 0)) * r.scale, 6) AS measure, r.unit FROM samples LEFT JOIN {_TYPES} ON sample_type = r.key LEFT JOIN {_UNITS} ON u.a = unit_label AND u.b = r.unit",
     "category_label": "SELECT line_id, value_text AS label FROM samples WHERE sample_type = 'sleepAnalysis'",
