@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions.zones import ZONE_OF
 from ..operators.registry import ACTIVITIES, ROWS, SLEEP_STAGES, UNITS
+from . import stamps_sql
 from .catalogue import CUTOFF, NO_DATA, WAITING
 
 
@@ -90,6 +91,7 @@ SQL = {
     "p3_found": f"""WITH {_SLEEP} SELECT source, gap_start_s, gap_end_s FROM (
       SELECT source, e AS gap_start_s, lead(s) OVER (PARTITION BY source ORDER BY s) AS gap_end_s FROM merged) WHERE gap_end_s - gap_start_s < 43200""",
     "p3_periods": f"WITH {_SLEEP} SELECT source, s AS period_start_s, e AS period_end_s FROM merged",
+    "p4_found": stamps_sql.FOUND,
     "p5_found": f"""WITH {_ARRIVED}, days AS (SELECT source, sample_type, d, count(*) FILTER (opn AND NOT pub) AS c, count(*) FILTER (NOT opn) AS x FROM judged GROUP BY ALL)
       SELECT source, sample_type, CAST(DATE '1970-01-01' + CAST(d AS INTEGER) AS VARCHAR) AS event_day, 'corrected' AS outcome FROM days WHERE c > 0
       UNION ALL SELECT source, sample_type, CAST(DATE '1970-01-01' + CAST(d AS INTEGER) AS VARCHAR), 'dropped' FROM days WHERE x > 0""",
