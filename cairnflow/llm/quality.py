@@ -28,6 +28,7 @@ _MISREAD = re.compile(r"[Â-ô][\x80-¿Œ-™]")
 #: Characters of any prose; letters, marks and digits beyond ASCII are asked for one by one.
 _COMMON = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 \n\r\t.,;:!?()[]'\"-/%„“”‘’«»°±–—")
 _APART = str.maketrans({chr(i): " " for i in range(128) if not chr(i).isalpha()})
+_BYTES_APART = bytes(i if i >= 128 or chr(i).isalpha() else 32 for i in range(256))
 _ASCII_PLAIN = bytes(range(48, 58)) + bytes(range(65, 91)) + bytes(range(97, 123)) + b" \n\t\r\x0b\x0c"
 
 #: Bytes of common words that may go with the tasks.
@@ -97,7 +98,23 @@ def _strange(text: str, tokens: list[str]) -> tuple[set[str], bool]:
 
 def _found(text: str) -> list[str]:
     """The words of a text in lower case: runs of letters."""
-    return text.lower().translate(_APART).split() if text.isascii() else WORD.findall(text.lower())
+    text = text.lower()
+    if text.isascii():
+        return text.translate(_APART).split()
+    for c in set(text):
+        if not c.isascii() and (not c.isalnum() or c.isdecimal()):
+            text = text.replace(c, " ")
+    return text.encode("utf-8", "surrogatepass").translate(_BYTES_APART).decode("utf-8", "surrogatepass").split()
+
+
+def _dominant(tokens: list[str]) -> tuple[int, int]:
+    """How often the most frequent three successive tokens occur, and the characters that they cover if they repeat."""
+    grams = Counter(zip(tokens, tokens[1:], tokens[2:], strict=False))
+    if not grams:
+        return 0, 0
+    top = max(grams, key=grams.__getitem__)
+    times = grams[top]
+    return times, (sum(map(len, top)) + 2) * times if times > 1 else 0
 
 
 def _is_misread(token: str) -> bool:
@@ -257,11 +274,7 @@ def described(text: str, common: Common) -> dict:
         elif kind == "entry":
             size["list"] += len(line) + 1
     close()
-    top, times = (), 0
-    if len(tokens) > 2:
-        grams = Counter(zip(tokens, tokens[1:], tokens[2:], strict=False))
-        top = max(grams, key=grams.__getitem__)
-        times = grams[top]
+    times, covered = _dominant(tokens)
     if times >= REPEATS and prose:
         joined = " ".join(prose)
         if joined.isascii():
@@ -276,18 +289,17 @@ def described(text: str, common: Common) -> dict:
     n_words = len(found)
     by_language: Counter[int] = Counter()
     if common.bits:
-        counts = Counter(found)
-        for w in common.bits.keys() & counts.keys():
+        for w, n in Counter(filter(common.bits.__contains__, found)).items():
             bits = common.bits[w]
             while bits:
-                by_language[bits & -bits] += counts[w]
+                by_language[bits & -bits] += n
                 bits &= bits - 1
     if "\n\n" in text:
         paragraphs = [p for x in text.split("\n\n") if (p := x.strip())]
         duplicates = (len(paragraphs) - len(set(paragraphs))) / len(paragraphs) if paragraphs else 0.0
     else:
         duplicates = 0.0
-    coverage = (sum(map(len, top)) + 2) * times / chars if times > 1 else 0.0
+    coverage = covered / chars
     symbols = _symbols(text) / chars
     kind = max(size, key=size.__getitem__)
     if size[kind] <= 0.5 * chars:
