@@ -224,11 +224,13 @@ def keyset_page(spark, sf_dir):
 
 
 def page_elements(spark, sf_dir):
-    """The first page of each queue as elements: its samples in order, then the ids deleted by its tombstones."""
-    el = table(spark, sf_dir, "batch_elements").where("batch_seq < 40")
-    added = el.where("uuid is not null and deleted is null").select("queue_id", "element_id")
-    gone = el.where("deleted is not null").select("queue_id", F.explode("deleted").alias("uuid"))
-    return ingest.page_elements(added, "element_id", gone, ["queue_id"]).select("queue_id", "pos", "element_id", F.array_join("deleted", ",").alias("deleted"))
+    """Every page of each queue as elements: its samples in order, then the ids deleted by its tombstones."""
+    el = table(spark, sf_dir, "batch_elements").select("queue_id", "element_id", "uuid", "deleted")
+    ranked = spread_rank(el, ["queue_id"], "element_id", 100_000, "rank")
+    paged = ranked.withColumn("page", F.floor((F.col("rank") - 1) / slices.PAGE))
+    added = paged.where("uuid is not null and deleted is null").select("queue_id", "page", "element_id")
+    gone = paged.where("deleted is not null").select("queue_id", "page", F.explode("deleted").alias("uuid"))
+    return ingest.page_elements(added, "element_id", gone, ["queue_id", "page"]).select("queue_id", "page", "pos", "element_id", F.array_join("deleted", ",").alias("deleted"))
 
 
 def _pages(spark, sf_dir):

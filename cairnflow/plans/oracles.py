@@ -117,11 +117,12 @@ SQL = {
       l AS (SELECT line_id, own, a, b, timezone(zone, timezone('UTC', a)) AS wa, timezone(zone, timezone('UTC', b)) AS wb FROM z),
       o AS (SELECT *, CAST((epoch_us(wa) - epoch_us(a)) // 60000000 AS BIGINT) AS ma, CAST((epoch_us(wb) - epoch_us(b)) // 60000000 AS BIGINT) AS mb FROM l)
       SELECT line_id, {_ISO.format(w='wa', m='ma')} AS start, {_ISO.format(w='wb', m='mb')} AS "end", own AS recorded_zone FROM o""",
-    "page_elements": """WITH e AS (SELECT * FROM batch_elements WHERE batch_seq < 40), a AS (SELECT queue_id, element_id FROM e WHERE uuid IS NOT NULL AND deleted IS NULL),
-      g AS (SELECT queue_id, array_to_string(list_sort(list(DISTINCT x)), ',') AS deleted FROM (SELECT queue_id, unnest(deleted) AS x FROM e) WHERE x IS NOT NULL GROUP BY 1),
-      n AS (SELECT queue_id, count(*) AS n FROM a GROUP BY 1)
-      SELECT queue_id, CAST(row_number() OVER (PARTITION BY queue_id ORDER BY element_id) - 1 AS INTEGER) AS pos, element_id, CAST(NULL AS VARCHAR) AS deleted FROM a
-      UNION ALL SELECT queue_id, CAST(coalesce(n.n, 0) AS INTEGER), NULL, g.deleted FROM g LEFT JOIN n USING (queue_id)""",
+    "page_elements": """WITH e AS (SELECT *, (row_number() OVER (PARTITION BY queue_id ORDER BY element_id) - 1) // 5000 AS page FROM batch_elements),
+      a AS (SELECT queue_id, page, element_id FROM e WHERE uuid IS NOT NULL AND deleted IS NULL),
+      g AS (SELECT queue_id, page, array_to_string(list_sort(list(DISTINCT x)), ',') AS deleted FROM (SELECT queue_id, page, unnest(deleted) AS x FROM e) WHERE x IS NOT NULL GROUP BY ALL),
+      n AS (SELECT queue_id, page, count(*) AS n FROM a GROUP BY ALL)
+      SELECT queue_id, CAST(page AS BIGINT) AS page, CAST(row_number() OVER (PARTITION BY queue_id, page ORDER BY element_id) - 1 AS INTEGER) AS pos, element_id, CAST(NULL AS VARCHAR) AS deleted FROM a
+      UNION ALL SELECT queue_id, CAST(g.page AS BIGINT), CAST(coalesce(n.n, 0) AS INTEGER), NULL, g.deleted FROM g LEFT JOIN n USING (queue_id, page)""",
     "enabled_filter": "SELECT line_id, sample_type FROM samples WHERE sample_type IS DISTINCT FROM 'heartRate'",
     "registry_scale": f"SELECT line_id, round((value_num * coalesce(u.f, 1) + coalesce(u.o, 0)) * r.scale, 6) AS measure, r.unit FROM samples LEFT JOIN {_TYPES} ON sample_type = r.key LEFT JOIN {_UNITS} ON u.a = unit_label AND u.b = r.unit",
     "category_label": "SELECT line_id, value_text AS label FROM samples WHERE sample_type = 'sleepAnalysis'",

@@ -27,7 +27,7 @@ def staged(df: DataFrame) -> DataFrame:
     """``df`` written once as parquet to the shared folder and read from there.
 
     Cuts the lineage: what follows can be computed again from the table after the loss of an executor, and several
-    readers don't compute ``df`` more than once. Tables are removed when the driver ends.
+    readers don't compute ``df`` more than once. Tables are removed when the driver ends, or by ``clear``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
@@ -37,12 +37,13 @@ def staged(df: DataFrame) -> DataFrame:
 
 
 @atexit.register
-def _remove() -> None:
-    for ref, path in _written:
-        spark = ref()
+def clear() -> None:
+    """Removes all tables staged so far. For long sessions, between jobs: results that read them must be written by then."""
+    while _written:
+        ref, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
+            spark = ref()
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
         except Exception:  # the session has ended; the cluster's own cleaning is left
             pass

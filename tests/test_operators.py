@@ -12,7 +12,7 @@ from cairnflow.functions.masks import READ, Stamps, day_month_order
 from cairnflow.functions.scalars import base_url, batch_name, first_bytes, in_zone, positive, type_stem, wait_seconds, with_key
 from cairnflow.functions.times import micros, stamp_seconds
 from cairnflow.functions.zones import zone_names, zone_tables
-from cairnflow.operators import anomalies, chunks, registry, slices, wire, workouts
+from cairnflow.operators import anomalies, chunks, ingest, registry, slices, wire, workouts
 from cairnflow.operators.anomalies import features, judged
 from cairnflow.operators.arrivals import once
 from cairnflow.operators.changes import apply_changes, current_samples, element_changes, packed, unpacked
@@ -424,3 +424,26 @@ def test_first_bytes(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     want = [None if t is None else t.encode()[:300].decode(errors="ignore") for t in texts]
     assert [r[0] for r in df.select(first_bytes(F.col("t"), 300)).collect()] == want
+
+
+def test_page_elements(spark):
+    page = spark.createDataFrame([("q", 7, "x"), ("q", 3, "x"), ("r", 1, "x"), (None, 5, "x"), ("q", None, "x")], "queue string, key bigint, deleted string")
+    gone = spark.createDataFrame([("q", "b"), ("q", "a"), ("q", "b"), ("s", "c"), ("q", None), (None, "d")], "queue string, uuid string")
+    got = {(r.queue, r.pos): (r.key, r.deleted) for r in ingest.page_elements(page, "key", gone, ["queue"]).collect()}
+    assert got == {("q", 0): (3, None), ("q", 1): (7, None), ("q", 2): (None, ["a", "b"]), ("r", 0): (1, None), ("s", 0): (None, ["c"]), (None, 0): (5, None), (None, 1): (None, ["d"])}
+
+
+def test_first_of(spark):
+    df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "z"), ("a", 1, "y"), (None, 0, "w"), ("b", None, "v")], "k string, o int, v string")
+    got = {r.k: (r.o, r.v, r._n, r._last) for r in ingest.first_of(df, "k", ["o"], ["v"]).collect()}
+    assert got == {"a": (1, "y", 3, 2), "b": (None, "v", 1, None)}
+
+
+def test_staged_tables_are_cleared(spark, tmp_path):
+    from cairnflow.sources import staging
+
+    held = staging.staged(spark.range(5))
+    assert held.count() == 5
+    path = staging._written[-1][1]
+    staging.clear()
+    assert not staging._written and not spark._jvm.java.io.File(path).exists()
