@@ -104,12 +104,6 @@ def registry(spark: SparkSession) -> DataFrame:
     )
 
 
-def scaled(df: DataFrame, types: DataFrame, type_col: str = "sample_type", value: str = "value_num") -> DataFrame:
-    """``df`` with ``scaled_value`` (value times the type's scale) and ``unit``, null for types that the registry lacks."""
-    dim = F.broadcast(types.select(F.col("key").alias("_key"), F.col("scale").alias("_scale"), F.col("unit").alias("unit")))
-    return df.drop("unit").join(dim, F.col(type_col) == F.col("_key"), "left").withColumn("scaled_value", F.col(value) * F.col("_scale")).drop("_key", "_scale")
-
-
 def converted(value: Column, factor: Column, offset: Column, scale: Column) -> Column:
     """A value in the canonical unit: linear conversion, then the scale (100 for shares shown as percent)."""
     return (value * factor + offset) * scale
