@@ -73,14 +73,15 @@ def planned(texts: DataFrame, targets: DataFrame, total: int | None) -> list[dic
 def calibrated(drawn: DataFrame, plan: list[dict]) -> list[dict]:
     """The plan with rates at which the texts' own numbers come closest to the wanted tokens.
 
-    The copies of all texts only grow with the rate, so one pass over the texts gives the tokens at several rates near
-    the solved one, and a second pass near the best of these.
+    The copies of all texts only grow with the rate, so one pass over the texts gives the tokens at several rates between a
+    quarter and four times the solved one, and two more passes near the best of these. A source of few texts, whose numbers
+    may all be high or low, thus comes within a text or so of its share.
     """
     spark = drawn.sparkSession
     rates = {p["source"]: p["rate"] for p in plan if 0 < p["rate"] < math.inf}
     wanted = {p["source"]: p["wanted"] for p in plan}
-    for spread in (0.06, 0.008) if rates else ():
-        factors = [1 + spread * k for k in range(-8, 9) if 1 + spread * k > 0]
+    near = [[2 ** (k / 4) for k in range(-8, 9)], [1 + 0.02 * k for k in range(-8, 9)], [1 + 0.0025 * k for k in range(-8, 9)]]
+    for factors in near if rates else ():
         rows = [
             (p["source"], p["cap"], [cumulative(rates[p["source"]] * f, p["cap"]) for f in factors]) for p in plan if p["source"] in rates
         ]
@@ -89,7 +90,7 @@ def calibrated(drawn: DataFrame, plan: list[dict]) -> list[dict]:
             F.sum(F.size(F.filter(F.col("tries")[i], lambda x: F.col("_u") >= x)) * F.col("n_tokens")).alias(f"s{i}") for i in range(len(factors))
         ]
         for r in drawn.join(table, ["source", "cap"]).groupBy("source").agg(*sums).collect():
-            best = min(range(len(factors)), key=lambda i, r=r: abs(r[f"s{i}"] - wanted[r.source]))
+            best = min(range(len(factors)), key=lambda i, r=r: (abs(r[f"s{i}"] - wanted[r.source]), abs(i - len(factors) // 2)))
             rates[r.source] *= factors[best]
     return [p | {"rate": rates.get(p["source"], p["rate"])} for p in plan]
 
@@ -102,7 +103,7 @@ def mixed(
     ``docs``: ``doc_id``, ``source``, ``text_key`` (equal for equal texts) and ``n_tokens``; ``targets``: ``source``,
     ``target_share``, ``max_repeats``. The mix has a row per copy of a text (doc_id, source, copy, n_tokens, shuffle_key)
     in shuffled order; the report one per target (source, target_share, actual_share, n_texts, n_used, n_copies,
-    most_copies, n_tokens).
+    most_copies, largest_text, n_tokens).
 
     Method: Poisson replication. The rate of a source is such that the mean of a Poisson variable cut off at
     ``max_repeats`` gives its share of the total; each text's number of copies is that distribution inverted at a
@@ -142,10 +143,10 @@ def mixed(
 
     used = drawn.groupBy("source").agg(
         F.count(F.lit(1)).alias("n_texts"), F.count_if(F.col("_copies") > 0).alias("n_used"), F.sum("_copies").alias("n_copies"),
-        F.max("_copies").alias("most_copies"), F.sum(F.col("_copies") * F.col("n_tokens")).alias("n_tokens"),
+        F.max("_copies").alias("most_copies"), F.max("n_tokens").alias("largest_text"), F.sum(F.col("_copies") * F.col("n_tokens")).alias("n_tokens"),
     )
     whole = used.agg(F.sum("n_tokens").alias("_all"))
     report = F.broadcast(goal).join(used, "source", "left").crossJoin(F.broadcast(whole))
-    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_texts", "n_used", "n_copies", "most_copies", "n_tokens")]
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_texts", "n_used", "n_copies", "most_copies", "largest_text", "n_tokens")]
     share = F.coalesce(F.try_divide(F.col("n_tokens"), F.col("_all")), F.lit(0.0)).alias("actual_share")
     return mix, report.select("source", "target_share", share, *zero)
